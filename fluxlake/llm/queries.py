@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, language_id, quality_gam, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_bpe": bpe.op2_bpe,
+        "op3_language_id": language_id.op3_language_id,
+        "op5_quality_gam": quality_gam.op5_quality_gam,
     }
 
 
