@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_gam, quality_rules
+from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, packing, quality_gam, quality_rules, secret_scan
 
 
 def queries() -> dict:
@@ -10,9 +10,14 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
         "op3_language_id": language_id.op3_language_id,
+        "op4_html_extraction": html_extraction.op4_html_extraction,
         "op5_quality_gam": quality_gam.op5_quality_gam,
+        "op6_chat_format": chat_format.op6_chat_format,
+        "op7_packing": packing.op7_packing,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE}
