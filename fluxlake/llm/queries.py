@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, packing, quality_gam, quality_rules, secret_scan
+from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, ngram_join, packing, quality_gam, quality_rules, secret_scan
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_gam": quality_gam.op5_quality_gam,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_packing": packing.op7_packing,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
