@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,13 @@ SEPARATOR = 0
 #: Ways to try: the share of a sequence from which a length is large, and the number of groups of large lengths.
 TRIES = ((1 / 2, 24), (1 / 3, 160), (1 / 6, 64))
 #: Runs of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _RANK = 1 << 44
+#: The printable stand-ins of bytes in byte-level vocabularies: bytes that are printable in Latin-1 stand for themselves, the rest in order from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+#: The tokenizer's own pattern, on lower-case text.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
 @dataclass
@@ -223,30 +229,41 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.end = SEPARATOR.to_bytes(4, "little")
-
-    def learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
-            for r, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[r] = np.array(e.ids, "<u4").tobytes()
+        self.bpe = self.model.model
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, p: str) -> bytes:
+        """Ids of one match of the pattern, by the library's merges alone."""
+        found = self.pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in self.bpe.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
+        return found
+
+    def learn(self, run: str) -> bytes:
+        """Runs of Latin letters, digits and marks recur in few pieces, in which case and neighbours do not matter. Others go through the whole tokenizer."""
+        if run.isascii() or max(run) < "\u0250":
+            low = run.lower()
+            get, piece = self.pieces.get, self.piece
+            found = get(low) or piece(low) if low.isalpha() else b"".join([get(p) or piece(p) for p in _PIECES(low)])
+        else:
+            found = self.ids(run)
+        self.known[run] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the separator, little-endian, 4 bytes each."""
         out = []
         for at in range(0, len(texts), 500):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            for table in (self.known, self.pieces):
+                if len(table) > REMEMBERED:
+                    table.clear()
             # Python takes these control characters for white space, the tokenizer does not.
             part = [None if t and ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) else (t or "").split() for t in texts[at : at + 500]]
-            new = {r for p in part if p for r in p if r not in self.known}
-            self.learn(sorted(new))
-            get = self.known.__getitem__
+            get, learn = self.known.get, self.learn
             for p, t in zip(part, texts[at : at + 500], strict=True):
-                if p is None:
-                    out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + self.end)
-                else:
-                    out.append(b"".join(map(get, p)) + self.end)
+                out.append((self.ids(t) if p is None else b"".join([get(r) or learn(r) for r in p])) + self.end)
         return out
 
 
