@@ -9,8 +9,12 @@ opened and compared exactly.
 How the matrix stays small: under one order of all tokens, two sets with Jaccard
 0.8 or more share at least l of the first n - ceil(0.8 n) + l tokens of either,
 for any l, so unions of these prefixes suffice. Any order is right; tokens that a
-first pass finds frequent come last in it, so passages that many documents share
-seldom enter a prefix. How groups are found: classes with an equal least token
+first pass finds frequent come last in it. Within prefixes, a second order is by
+exact frequency. If x is the rarest prefix token that two sets share there, their
+overlap is at most the shared prefix tokens from x on, plus what lies behind the
+longer prefix; so x asks for a group only where both have enough such tokens, and
+a passage that many documents share asks for none. The bound of a query and a
+group then counts in whole prefixes. How groups are found: classes with an equal least token
 under one of four permutations meet in blocks of bounded size and are compared
 with a few leaders there; whatever links is a group. The matrix then finds every
 link between different groups that this missed.
@@ -27,7 +31,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, shingle_sets
@@ -37,7 +41,7 @@ WORDS, PERCENT = 5, 80
 #: Permutations that propose groups; classes in a block; representatives of a group in a block of another permutation.
 KEYS, BLOCK, PIVOTS = 4, 512, 3
 #: A token counted so often, within parts of the input, comes late in the order; so many at most, the most frequent ones. Both only change the time.
-FREQUENT, FREQUENT_MOST = 4, 1 << 18
+FREQUENT, FREQUENT_MOST = 2, 1 << 18
 #: Tokens that one counting step holds.
 STEP_TOKENS = 4_000_000
 
@@ -45,9 +49,33 @@ _SEEDS = mix(np.arange(101, 101 + KEYS, dtype=np.uint64))
 _i64 = lambda a: a.view(np.int64)
 
 
+#: Of a set of n tokens, l is 1 + n div SHARE.
+SHARE = 25
+#: Rounding that the bound over a range of sizes allows for.
+SLACK = 3
+
+
 def extra(n):
-    """l: the shared prefix tokens asked for, over one, of a set of n tokens."""
-    return 1 + n // 25
+    """l: the shared prefix tokens asked for."""
+    return 1 + n // SHARE
+
+
+def _least(n, percent: int):
+    """The smallest set that one of n tokens may link with, in whole numbers."""
+    return F.floor((percent * n + 99) / 100)
+
+
+def _needed(n, m, percent: int):
+    """Shared prefix tokens that sets of n and m tokens cannot link without: the overlap that the threshold asks for, less what lies behind the longer prefix."""
+    behind = lambda k: _least(k, percent) - 1 - F.floor(k / SHARE)
+    overlap = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    return overlap - F.greatest(behind(n), behind(m))
+
+
+def _needed_of(n, low, high, percent: int):
+    """The same for a partner of some size from low to high: least at an end of the range that can link."""
+    a, b = F.greatest(_least(n, percent), low), F.least(F.floor(100 * n / percent), high)
+    return F.greatest(F.lit(1), F.least(_needed(n, a, percent), _needed(n, b, percent)) - SLACK)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -301,8 +329,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signatures = materialise(_signatures(d, *_frequent(d)), "signatures")
     tokens = materialise(_shared_tokens(signatures), "tokens")
-    # Classes with enough shared prefix tokens to link at all.
-    some = tokens.groupBy("s").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c >= 1 + ceil(0.8D * n) div 25").select("s", "n")
+    # place: the tokens of a set that are shared at all and no rarer than this one.
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("df"), "token"))
+    n = F.col("n")
+    asking = tokens.join(spread, "token").withColumn("place", place).where(F.col("place") >= _needed_of(n, F.lit(0), n * 2, percent))
+    asking = materialise(asking.select("token", "s", "n", "place"), "asking")
+    some = asking.groupBy("s").agg(F.min("n").alias("n"))
     heads = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("keys", True).alias("keys"))
     nodes = materialise(some.join(heads, "s"), "nodes")
 
@@ -332,23 +365,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # The matrix: which groups hold a token in a prefix, with the sizes of their members.
     known = materialise(_labelled(nodes, links).select("s", "n", F.col("component").alias("g")), "groups")
     groups = known.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    held = tokens.select("token", "s").join(known, "s")
+    held = asking.select("token", "s", "place").join(known, "s")
     mixed = held.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
-    held = materialise(held.join(mixed, "token", "left_semi").join(groups, "g").select("token", "s", "n", "g", "size", "lo", "hi"), "held")
-    matrix = held.select("token", *(F.col(c).alias(f"other_{c}") for c in ("g", "size", "lo", "hi"))).distinct()
+    held = materialise(held.join(mixed, "token", "left_semi").join(groups, "g").select("token", "s", "place", "n", "g", "size", "lo", "hi"), "held")
+    matrix = held.groupBy("token", *(F.col(c).alias(f"other_{c}") for c in ("g", "size", "lo", "hi"))).agg(F.max("place").alias("top"))
     # Of two groups the smaller one's members ask the larger one.
-    least = F.greatest(F.ceil(0.8 * F.col("n")), F.col("other_lo"))
     asks = (F.struct("size", "g") < F.struct("other_size", "other_g")) & (5 * F.col("other_hi") >= 4 * F.col("n")) & (4 * F.col("other_lo") <= 5 * F.col("n"))
-    bound = 1 + F.least(F.floor(F.col("n") / 25), F.floor(least / 25))
-    asked = held.join(matrix, "token").where(asks).groupBy("s", "n", "other_g", "other_lo").agg(F.count("*").alias("c")).where(F.col("c") >= bound)
-    asked = materialise(asked.select("s", F.col("other_g").alias("g")), "asked")
+    asks = asks & (F.least("place", "top") >= _needed_of(n, F.col("other_lo"), F.col("other_hi"), percent))
+    asked = materialise(held.join(matrix, "token").where(asks).select("s", "n", F.col("other_g").alias("g"), F.col("other_lo").alias("lo"), F.col("other_hi").alias("hi")).distinct(), "asked")
+    # The bound, in whole prefixes: tokens of the query that the group's union holds.
+    union = tokens.select("token", "s").join(known.join(asked.select("g").distinct(), "g", "left_semi"), "s").select("token", "g").distinct()
+    overlap = asked.join(tokens.select("s", "token"), "s").join(union, ["token", "g"]).groupBy("s", "g", "n", "lo", "hi").agg(F.count("*").alias("c"))
+    asked = materialise(overlap.where(F.col("c") >= _needed_of(n, F.col("lo"), F.col("hi"), percent)).select("s", "g"), "opened")
     queries_of = asked.groupBy("g").agg(F.count("*").alias("asks"))
     opened = queries_of.join(groups.select("g", "size"), "g").select("g", F.ceil(F.col("asks") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
     part = lambda of: F.pmod(F.xxhash64("s", F.lit(5)), F.col(of).cast("long")).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    asking = asked.join(opened, "g").select("g", part("qs").alias("q"), all_of("ms").alias("m"), "s", F.lit(True).alias("query"))
+    queries = asked.join(opened, "g").select("g", part("qs").alias("q"), all_of("ms").alias("m"), "s", F.lit(True).alias("query"))
     members = known.select("g", "s").join(opened, "g").select("g", part("ms").alias("m"), all_of("qs").alias("q"), "s", F.lit(False).alias("query"))
-    rows = asking.unionByName(members).join(sets, "s").select("g", "q", "m", "s", "query", "tokens")
+    rows = queries.unionByName(members).join(sets, "s").select("g", "q", "m", "s", "query", "tokens")
     links = materialise(_links(rows, ["g", "q", "m"], _opened, percent).union(links), "found")
 
     of_class = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("id")).join(components(links).withColumnRenamed("id", "s"), "s", "left").select("s", "id", F.coalesce("component", "s").alias("component"))
