@@ -35,7 +35,31 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Like materialise, as a table in buckets by key: joins on the key read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"fluxlake_{what}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._written_at, out._table = path, name
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialise or bucketed wrote, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        if getattr(df, "_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: str, n: int) -> Column:

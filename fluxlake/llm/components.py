@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         below = large.where("a <> b").distinct()
         low = below.groupBy("a").agg(F.min("b").alias("m"))
         small = below.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))).select("col.*").where("a <> b").distinct()
-        e = materialise(small, "links")
+        old, e = e, materialise(small, "links")
+        discard(old)
         # Done when every id hangs under one that hangs under none.
         heads = e.select(F.col("b").alias("a")).distinct()
         odd = e.join(heads, "a", "left_semi").limit(1).count() or e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

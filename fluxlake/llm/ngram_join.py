@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shingle_sets
+from .common import bucketed, discard, materialise, mix, shingle_sets
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -139,6 +139,10 @@ class _Order:
         return s[:p]
 
 
+def _signature(s: np.ndarray) -> int:
+    return int(_i64(mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(s))))[0])
+
+
 def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFrame:
     """doc_id, n, s (the set's 64-bit signature), keys and prefix; the latter two are given once for each class in a partition."""
     shared = docs.sparkSession.sparkContext.broadcast((token, level))  # at most FREQUENT_MOST tokens
@@ -158,7 +162,7 @@ def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFr
                         keys.append(None)
                         prefixes.append(None)
                         continue
-                    g = int(_i64(mix(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(s))))[0])
+                    g = _signature(s)
                     sig.append(g)
                     if g in seen:
                         keys.append(None)
@@ -327,8 +331,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not PERCENT <= percent <= 100:
         raise ValueError("the prefixes are cut for a threshold of 80 percent or more")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = materialise(_signatures(d, *_frequent(d)), "signatures")
-    tokens = materialise(_shared_tokens(signatures), "tokens")
+    wide = materialise(_signatures(d, *_frequent(d)), "prefixes")
+    tokens = materialise(_shared_tokens(wide), "tokens")
+    signatures = materialise(wide.drop("prefix"), "signatures")
+    discard(wide)
     # place: the tokens of a set that are shared at all and no rarer than this one.
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("df"), "token"))
@@ -343,11 +349,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_i64(s) for s in shingle_sets(part.column(1), WORDS)], pa.list_(pa.int64()))], names=["s", "tokens"])
+                made = list(shingle_sets(part.column(1), WORDS))
+                # An id may have several texts: only the one that the signature is of.
+                right = pa.array([len(s) > 0 and _signature(s) == w for s, w in zip(made, part.column(0).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_i64(s) for s in made], pa.list_(pa.int64()))], names=["s", "tokens"]).filter(right)
 
-    # One text for each class; a class whose id has several texts keeps the right one by its size and signature below.
-    texts = d.join(signatures.where("s is not null").select("doc_id", "s").join(nodes.select("s", "doc_id"), ["s", "doc_id"], "left_semi").distinct(), "doc_id")
-    sets = materialise(texts.select("s", "text").mapInArrow(expand, "s long, tokens array<long>").join(nodes.select("s", "n"), "s").where("size(tokens) = n").dropDuplicates(["s"]).select("s", "tokens"), "sets")
+    sets = bucketed(d.join(nodes.select("s", "doc_id"), "doc_id").select("s", "text").mapInArrow(expand, "s long, tokens array<long>"), "s", "sets")
 
     links = None
     for round_ in range(2):
@@ -385,6 +392,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = known.select("g", "s").join(opened, "g").select("g", part("ms").alias("m"), all_of("qs").alias("q"), "s", F.lit(False).alias("query"))
     rows = queries.unionByName(members).join(sets, "s").select("g", "q", "m", "s", "query", "tokens")
     links = materialise(_links(rows, ["g", "q", "m"], _opened, percent).union(links), "found")
+    discard(sets, tokens, asking, held)
 
     of_class = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("id")).join(components(links).withColumnRenamed("id", "s"), "s", "left").select("s", "id", F.coalesce("component", "s").alias("component"))
     of_class = materialise(of_class, "classes")
@@ -394,9 +402,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns as they are, of which each group keeps the one with the smallest id (documents without words are all kept)."""
-    heads = jaccard_components(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    """The documents, all columns as they are, of which each group keeps the one with the smallest id. Documents without words all stay; of rows that repeat an id and its words one stays."""
+    found = materialise(jaccard_components(docs, percent), "components")
+    # What goes is less than what stays, and nearly always small.
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    names = [f"_{c}" for c in docs.columns]  # no clash with the helper column
+    one = kept.join(again, "doc_id", "left_semi").select(*docs.columns).toDF(*names)
+    said = F.array_remove(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t-\\r]+"), "")
+    one = one.withColumn("said", F.xxhash64(F.coalesce(said, F.array()), F.size(F.coalesce(said, F.array()))))
+    one = one.dropDuplicates(["_doc_id", "said"]).drop("said").toDF(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op8_ngram_join(spark, sf_dir):
