@@ -41,12 +41,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Like materialise, as a table in buckets by key: joins on the key read it without a shuffle."""
+    """Like materialise, one row for each key, as a table in buckets by key: joins on the key read it without a shuffle."""
     spark = df.sparkSession
     name = f"fluxlake_{what}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._written_at, out._table = path, name
     return out

@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 80
 KEYS, BLOCK, PIVOTS = 4, 512, 3
 #: A token counted so often, within parts of the input, comes late in the order; so many at most, the most frequent ones. Both only change the time.
 FREQUENT, FREQUENT_MOST = 2, 1 << 18
+#: The largest filter of ids that the scan for sets gets: 8 MB.
+FILTER_BITS = 1 << 26
 #: Tokens that one counting step holds.
 STEP_TOKENS = 4_000_000
 
@@ -179,6 +181,29 @@ def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFr
     return docs.mapInArrow(run, "doc_id long, n long, s long, keys array<long>, prefix array<long>")
 
 
+def _places(ids: pa.Array, size: int) -> np.ndarray:
+    """Three bits of a filter of `size` bytes for each id."""
+    h = mix(ids.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return np.stack([mix(h + np.uint64(k)) % np.uint64(8 * size) for k in range(3)]).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids, of fixed size at most: built in parts, united by word. A fuller filter lets more pass and loses nothing."""
+    size = int(min(FILTER_BITS, max(1 << 12, 1 << (16 * max(1, ids.count())).bit_length())) // 8)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_places(b.column(0), size).ravel())
+            word, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_i64(bits))], names=["word", "bits"])
+
+    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 8, "<u8")
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return words.view(np.uint8)
+
+
 def _shared_tokens(signatures: DataFrame) -> DataFrame:
     """(token, s, n) of the prefix tokens that more than one class has. Rows come sorted by token, so only a run's first row waits."""
     rows = signatures.where("prefix is not null").select(F.explode("prefix").alias("token"), "s", "n")
@@ -345,16 +370,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("keys", True).alias("keys"))
     nodes = materialise(some.join(heads, "s"), "nodes")
 
+    # The scan leaves out most texts that no class needs, so that only sets of candidates move.
+    filter_ = d.sparkSession.sparkContext.broadcast(_filter(nodes.select("doc_id")))  # at most FILTER_BITS bits
+
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                made = list(shingle_sets(part.column(1), WORDS))
-                # An id may have several texts: only the one that the signature is of.
-                right = pa.array([len(s) > 0 and _signature(s) == w for s, w in zip(made, part.column(0).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_i64(s) for s in made], pa.list_(pa.int64()))], names=["s", "tokens"]).filter(right)
-
-    sets = bucketed(d.join(nodes.select("s", "doc_id"), "doc_id").select("s", "text").mapInArrow(expand, "s long, tokens array<long>"), "s", "sets")
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                place = _places(part.column(0), len(bits))
+                hit = part.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool).all(0)))
+                made = [s for s in shingle_sets(hit.column(1), WORDS) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in made], pa.int64()), pa.array([_i64(s) for s in made], pa.list_(pa.int64()))], names=["s", "tokens"])
+
+    sets = bucketed(d.mapInArrow(expand, "s long, tokens array<long>"), "s", "sets")
 
     links = None
     for round_ in range(2):
