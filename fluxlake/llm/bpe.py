@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries that each table of remembered runs may hold before it is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 _NONE = 1 << 60
 
 
@@ -100,8 +100,13 @@ class Codec:
         self.table = [b""] * (max(self.ranks.values()) + 1)
         for b, i in self.ranks.items():
             self.table[i] = b
+        self.odd = re.compile(r" (?=\s|\Z)").search
+        self.forget()
+
+    def forget(self) -> None:
         self.of_piece: dict[str, bytes] = {}
         self.of_run: dict[str, bytes] = {}
+        self.of_spaced: dict[str, bytes] = {}
 
     def piece(self, p: str) -> bytes:
         found = self.of_piece.get(p)
@@ -121,9 +126,25 @@ class Codec:
             self.of_run[r] = found
         return found
 
+    def spaced(self, r: str) -> bytes:
+        """A run after its space, remembered without it."""
+        found = b"".join([self.piece(p) for p in self.pieces(" " + r)])
+        if len(r) <= 64:
+            if len(self.of_spaced) >= REMEMBERED:
+                self.of_spaced.clear()
+            self.of_spaced[r] = found
+        return found
+
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         get, run = self.of_run.get, self.run
-        return b"".join([get(r) or run(r) for r in self.runs(text)]) if text else b""
+        if self.odd(text):
+            return b"".join([get(r) or run(r) for r in self.runs(text)])
+        # Every space stands before a character that is none, so each starts a run.
+        first, *rest = text.split(" ")
+        get, spaced = self.of_spaced.get, self.spaced
+        return b"".join([run(first), *[get(r) or spaced(r) for r in rest]])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -172,6 +172,11 @@ LABELLED: list[tuple[str, str]] = [
     ("<article><header><p>By the editor, on a day in May</p></header><p>The text starts in the article and goes on.</p><aside>Did you know that the sea is deep and salt?</aside><p>And ends.</p><nav><a>Next</a></nav><form>Write to us about this text here</form></article><div class=comments><p>First reader says that it is good and right.</p></div>", "0101000"),
     ("<div class=post><h1>Post</h1><p>My text of today is short but mine, as it was before.</p></div><div class=comment><p>Nice text, I read it twice and sent it to a friend.</p></div><div class=newsletter><p>Get our letter every week for free.</p></div>", "1100"),
     ("<dialog><p>Please log in to go on with reading this page here.</p></dialog><article><p>Here.</p><p>Text with many words that goes on over the line, and more of them, until it ends.</p><div class=share><a>Share</a> <a>Like</a></div><div class='notice'>This notice is not of the text.</div></article>", "01100"),
+    ("<article><p>Two words</p></article>", "1"),
+    ("<article>One</article>", "1"),
+    ("<nav><a>Start</a></nav><article><p>Yes.</p></article><footer>Foot</footer>", "010"),
+    ("<nav><ul><li><a>a</a><li><a>b</a></ul></nav><div class=ad>Buy this.</div><article><h1>Short</h1><p>Sh is.</p></article><footer>&copy; x</footer>", "000110"),
+    ("<div>Menu <a>one</a></div><article><p>Here it ends.</p></article>", "01"),
     ("<article><p><a>A whole paragraph that is one link in the text</a></p><p>Plain again, with words.</p><ul><li><a>linked item in text</a></li></ul></article><ul><li><a>x</a></li><li><a>y</a></li></ul>", "11100"),
 ]
 

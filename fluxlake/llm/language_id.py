@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +160,7 @@ def label_batch(m: Model, texts: list[str | None]):
         rows: list[int] = []
         first, letters, begin = [0], [], at
         if len(m.rows) > REMEMBERED:
-            m.rows.clear()
+            m.rows, m.table = {}, None
         while at < len(texts) and len(rows) < STEP_WORDS:
             words = [w for w in words_of((texts[at] or "").lower()) if w.isascii() or script(w)]
             got = list(map(m.rows.get, words))
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, usable=None) -> Model:
 
 def _mapper(model, schema: pa.Schema, rows):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = replace(model.value, rows={}, table=None)  # what a task remembers goes with it
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -263,7 +263,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = replace(shared.value, rows={}, table=None)
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)

@@ -45,7 +45,7 @@ FREQUENT, FREQUENT_MOST = 2, 1 << 18
 #: The largest filter of ids that the scan for sets gets: 8 MB.
 FILTER_BITS = 1 << 26
 #: Tokens that one counting step holds.
-STEP_TOKENS = 4_000_000
+STEP_TOKENS = 1_000_000
 
 _SEEDS = mix(np.arange(101, 101 + KEYS, dtype=np.uint64))
 _i64 = lambda a: a.view(np.int64)

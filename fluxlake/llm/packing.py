@@ -281,6 +281,8 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         full = 0
+        t.known.clear()  # of another task
+        t.pieces.clear()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
@@ -296,6 +298,8 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
                     crcs.append([zlib.crc32(p[i : i + 4 * length]) for i in range(0, len(p), 4 * length)])
                 columns = [pa.array([part] * len(n), pa.int32()), b.column(0), pa.array(n), pa.array(tails, pa.int32()), pa.array(tail_ranks), pa.array(fulls), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * with_ids, schema=schema)
+        t.known.clear()
+        t.pieces.clear()
 
     kinds = "part int, doc_id long, n long, tail int, tail_rank long, full_rank long, crcs array<long>" + ", ids binary" * with_ids
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, kinds)
