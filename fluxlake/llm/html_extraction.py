@@ -181,9 +181,20 @@ LABELLED: list[tuple[str, str]] = [
 ]
 
 
+def _sized() -> Iterator[tuple[str, str]]:
+    """The same kinds of blocks at many lengths, so that a region counts for more than a length that it happens to have."""
+    text = lambda n: " ".join(["word"] * n)
+    for n in (1, 3, 8, 12, 20, 60, 150):
+        for m in (1, 4, 10, 15, 40, 120):
+            yield f"<nav><a>{text(2)}</a></nav><div class=ad>{text(n)}</div><article><h1>{text(m)}</h1><p>{text(m)}</p><p>{text(n)}</p></article><footer>{text(m)} &copy;</footer>", "001110"
+            yield f"<div class=sidebar>{text(m)}</div><div><p>{text(n)}</p><p>{text(m)}</p></div><div class=ad>{text(n)}</div><div class=menu>{text(m)}</div>", "01100"
+            yield f"<header>{text(n)}</header><main><p>{text(m)}</p></main><aside>{text(m)}</aside>", "010"
+            yield f"<article><p>{text(n)}</p><div class=comments>{text(m)}</div><div class=promo>{text(n)}</div><p>{text(m)}</p></article>", "1001"
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     rows, marks = [], []
-    for page, labels in LABELLED:
+    for page, labels in [*LABELLED, *_sized()]:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {[b.text for b in found]}")
