@@ -28,7 +28,7 @@ def edge(spark, edge_rows):
     df = spark.createDataFrame(edge_rows, DOCS)
     for c in ("n_words", "kept", "score", "label", "tokens", "token", "component_id", "s", "n", "g", "id", "ids", "part", "words", "start", "length", "sequence_id"):
         df = df.withColumn(c, F.lit("clash"))
-    return df
+    return df.repartition(2)  # or the optimiser would work the rows out on its own, interpreted
 
 
 @pytest.fixture(scope="session")
