@@ -14,7 +14,8 @@ from ..model import mode_dim, q
 from ..registry import query
 
 #: cos and sin of -2 pi m / 4.
-_COS, _SIN = F.array(*map(F.lit, (1, 0, -1, 0))), F.array(*map(F.lit, (0, -1, 0, 1)))
+_cos = lambda m: F.get(F.array(*map(F.lit, (1, 0, -1, 0))), m)
+_sin = lambda m: F.get(F.array(*map(F.lit, (0, -1, 0, 1))), m)
 
 
 def dft4(field: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def dft4(field: DataFrame) -> DataFrame:
     modes = F.broadcast(mode_dim(field.sparkSession, 4))
     m = F.pmod(F.col("kz") * F.col("z") + F.col("ky") * F.col("y") + F.col("kx") * F.col("x"), F.lit(4))
     j = field.crossJoin(modes)  # 48 rows, by construction
-    return j.groupBy("frame", "ch", "kz", "ky", "kx", "k2", "shell", "w").agg(F.sum(F.col("q") * F.get(_COS, m)).alias("re"), F.sum(F.col("q") * F.get(_SIN, m)).alias("im"))
+    return j.groupBy("frame", "ch", "kz", "ky", "kx", "k2", "shell", "w").agg(F.sum(F.col("q") * _cos(m)).alias("re"), F.sum(F.col("q") * _sin(m)).alias("im"))
 
 
 def idft4(modes: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def idft4(modes: DataFrame) -> DataFrame:
     p = modes.sparkSession.range(64).select(*((F.floor(F.col("id") / d) % 4).cast("int").alias(c) for c, d in (("z", 16), ("y", 4), ("x", 1))))
     m = F.pmod(F.col("kz") * F.col("z") + F.col("ky") * F.col("y") + F.col("kx") * F.col("x"), F.lit(4))
     # The half axis stands for its mirror image; e^{+i} has the opposite sine.
-    value = F.col("w") * (F.col("re") * F.get(_COS, m) + F.col("im") * F.get(_SIN, m))
+    value = F.col("w") * (F.col("re") * _cos(m) + F.col("im") * _sin(m))
     return modes.crossJoin(F.broadcast(p)).groupBy("frame", "ch", "z", "y", "x").agg((F.sum(value) / 64).cast("long").alias("q"))
 
 
