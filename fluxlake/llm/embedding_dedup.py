@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a random-projection tree forest.
 
 Trees split recursively at random directions; points near a split fall on both
-sides. Only thresholds are learned, from a bounded sample; every vector is
+sides. A split that would part links widens its margin; a node that is one dense
+group is not split. Only thresholds are learned, from a bounded sample; every vector is
 indexed. Vectors of one label that share a leaf of any tree are compared exactly,
 in double precision, in blocks of bounded size, and links are united.
 
@@ -32,6 +33,8 @@ COSINE = 0.93
 SAMPLE, TREES, LEAF, SPILL, DIRECTIONS, DEEPEST = 20_000, 8, 400, 0.15, 256, 16
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 1024
+#: Splits must not cut dense groups: sample vectors of a node whose links are looked at, links needed to tell, share of them that a split may part, share of the node that may go both ways for that, directions tried before a node stays whole.
+SEEN, TELLING, PARTED, BOTH, TRIES = 512, 32, 0.05, 0.35, 8
 
 
 @dataclass
@@ -60,8 +63,16 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
-def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int = 5) -> Forest:
-    """Trees for `size` vectors of the most frequent label; the sample sets each node's median and spread."""
+def _margin(v: np.ndarray, cut: float, a: np.ndarray, b: np.ndarray) -> float:
+    """The least margin with which a split at `cut` parts no more than PARTED of the links a-b."""
+    if len(a) < TELLING:
+        return 0.0
+    low, high = np.minimum(v[a], v[b]) - cut, np.maximum(v[a], v[b]) - cut
+    return max(0.0, float(np.quantile(np.minimum(-low, high), 1 - PARTED)))  # a pair is parted by margins below this
+
+
+def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int = 5, threshold: float = COSINE) -> Forest:
+    """Trees for `size` vectors of the most frequent label; the sample sets each node's median and spread, and where splitting ends."""
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(dim, DIRECTIONS))
     directions /= np.linalg.norm(directions, axis=0)
@@ -74,12 +85,26 @@ def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int
         inside = {0: np.arange(len(p))}
         for node in range(nodes):
             own = inside.pop(node)
-            v = p[own, picks[t, node]]
-            if len(v) >= 8:
-                cuts[t, node], margins[t, node] = np.median(v), SPILL * v.std()
+            if node and np.isinf(cuts[t, (node - 1) // 2]):  # below a whole node
+                cuts[t, node] = np.inf
+            elif len(own) >= 8:
+                seen = own if len(own) <= SEEN else rng.choice(own, SEEN, replace=False)
+                a, b = np.nonzero(np.triu(sample[seen] @ sample[seen].T >= threshold, 1))
+                for pick in (picks[t, node], *rng.integers(0, DIRECTIONS, TRIES - 1)):
+                    v = p[own, pick]
+                    cut = np.median(v)
+                    margin = max(SPILL * v.std(), _margin(p[seen, pick], cut, a, b))
+                    picks[t, node], cuts[t, node], margins[t, node] = pick, cut, margin
+                    if len(a) < TELLING or (np.abs(v - cut) <= margin).mean() <= BOTH:
+                        break
+                else:  # all go left: the node stays whole
+                    cuts[t, node], margins[t, node] = np.inf, 0.0
             elif node:  # too few to tell: as in the node above
                 cuts[t, node], margins[t, node] = cuts[t, (node - 1) // 2], margins[t, (node - 1) // 2]
+            v = p[own, picks[t, node]]
             inside[2 * node + 1], inside[2 * node + 2] = own[v <= cuts[t, node]], own[v > cuts[t, node]]
+        if nodes and np.isinf(cuts[t, 0]):  # this tree alone compares all pairs
+            return Forest(directions, picks[:1], cuts[:1], margins[:1], 0)
     return Forest(directions, picks, cuts, margins, depth)
 
 
@@ -134,11 +159,14 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     count = np.zeros(len(ids), np.int64)
     edges_a, edges_b = [], []
     left, right = (slice(0, split), slice(split, None)) if two else (slice(0, None), slice(0, None))
-    base = split if two else 0
-    for at in range(left.start, split if two else len(ids), 256):
-        to = min(at + 256, split if two else len(ids))
-        i, j = np.nonzero(x[at:to] @ x[right].T >= threshold)
-        i, j = i + at, j + base
+    # Vectors that share an earlier leaf were compared there: skip the pairs within the earlier leaf that most are in.
+    earlier, often = np.unique(held[(held >= 0) & (held < leaf)], return_counts=True)
+    known = (held == earlier[often.argmax()]).any(1) if len(earlier) else np.zeros(len(ids), bool)
+    rows, others = np.arange(len(ids))[left], np.arange(len(ids))[right]
+    chunks = [(r[k : k + 256], o) for r, o in ((rows[known[rows]], others[~known[others]]), (rows[~known[rows]], others)) for k in range(0, len(r), 256)]
+    for r, o in chunks:
+        i, j = np.nonzero(x[r] @ x[o].T >= threshold)
+        i, j = r[i], o[j]
         if not two:
             i, j = i[i < j], j[i < j]
         else:
@@ -154,7 +182,7 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
                 first &= ~((v >= 0) & (v < leaf) & (hb == v)).any(1)
             np.add.at(count, a[first], number[b[first]])
             np.add.at(count, b[first], number[a[first]])
-    a, b = np.concatenate(edges_a), np.concatenate(edges_b)
+    a, b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (edges_a, edges_b))
     linked = np.zeros(len(ids), bool)
     linked[a] = linked[b] = True
     root = _roots(len(ids), a, b)
@@ -202,7 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         chance = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
         sample = part.where(chance < min(1.0, SAMPLE / r["n"])).limit(2 * SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
         x = _unit(sample, dim) if len(sample) else np.zeros((0, dim))
-        got = links(part, plant(x[np.lexsort(x.T)], most, dim), dim, threshold)
+        got = links(part, plant(x[np.lexsort(x.T)], most, dim, threshold=threshold), dim, threshold)
         found = got if found is None else found.union(got)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -85,3 +85,37 @@ def test_recall_on_a_larger_table(spark, name):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     want = int((v @ v.T >= D.COSINE).sum()) - len(v)
     assert 0.9 * want <= D.near_duplicates(df).agg({"n_links": "sum"}).first()[0] <= want
+
+
+def dense(seed, n, dim=64, far=0, cosine=0.95):
+    """n vectors around one centre whose pairs have about this cosine, and others anywhere."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=dim)
+    x = centre / np.linalg.norm(centre) + np.sqrt((1 / cosine - 1) / dim) * rng.normal(size=(n, dim))
+    x = np.concatenate([x, rng.normal(size=(far, dim))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n", "far", "cosine"), [(12_800, 0, 0.95), (12_800, 0, 0.93), (8_000, 16_000, 0.95)])
+def test_dense_groups_are_not_cut(n, far, cosine):
+    x = dense(4, n, far=far, cosine=cosine)
+    rng = np.random.default_rng(0)
+    f = D.plant(x[rng.choice(len(x), min(len(x), D.SAMPLE), replace=False)], 200_000, 64)
+    some = rng.choice(n, 1_500, replace=False)
+    a, b = np.nonzero(np.triu(x[some] @ x[some].T >= D.COSINE, 1))
+    rows, leaves = f.leaves(x[some])
+    held = [set() for _ in some]
+    for r, leaf in zip(rows, leaves, strict=True):
+        held[r].add(leaf)
+    assert len(a) > 10_000
+    assert np.mean([not held[i].isdisjoint(held[j]) for i, j in zip(a[:200_000], b[:200_000], strict=True)]) >= 0.95
+
+
+def test_links_of_a_dense_label(spark):
+    x = dense(6, 10_000, dim=16).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = int((y @ y.T >= D.COSINE).sum()) - len(y)
+    got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * want <= got <= want
