@@ -314,6 +314,13 @@ def upsample_linear_n4(spark, sf_dir):
     return upsample_linear(field4(spark, sf_dir).where("ch = 0 and frame < 20").select("frame", "z", "y", "x", F.col("q").cast("double").alias("q"))).select("frame", "z", "y", "x", q("q", 64).alias("q64"))
 
 
+@query("upsample_linear_n4_all", with_(FIELD4, "w AS (SELECT CAST(t AS INTEGER) AS t, CAST(f AS INTEGER) AS f, greatest(0, 1 - abs(least(greatest((t + 0.5) / 2 - 0.5, 0), 3) - f))::DOUBLE AS w FROM range(0, 8) AS a(t), range(0, 4) AS b(f))",
+       rest="SELECT frame, wz.t AS z, wy.t AS y, wx.t AS x, CAST(floor(sum(q * wz.w * wy.w * wx.w) * 64 + 0.5) AS BIGINT) AS q64 FROM field4 JOIN w wz ON wz.f = z AND wz.w > 0 JOIN w wy ON wy.f = y AND wy.w > 0 JOIN w wx ON wx.f = x AND wx.w > 0 WHERE ch = 0 GROUP BY ALL"))
+def upsample_linear_n4_all(spark, sf_dir):
+    """Every frame; upsample_linear_n4 has the first twenty."""
+    return upsample_linear(field4(spark, sf_dir).where("ch = 0").select("frame", "z", "y", "x", F.col("q").cast("double").alias("q"))).select("frame", "z", "y", "x", q("q", 64).alias("q64"))
+
+
 def rfft_packed(fields: DataFrame, n: int) -> DataFrame:
     """Forward real FFT of packed fields (frame, values: n^3 doubles): re and im arrays in C order of the half spectrum. One Arrow batch at a time, no grouping."""
 

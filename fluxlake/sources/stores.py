@@ -87,7 +87,17 @@ def read_result_rows(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 @query("src_result_roots", with_(RESULT_ROWS, rest="""SELECT model, task, "case", CAST(floor(arg_max(nrmse, root) * 1e9 + 0.5) AS BIGINT) AS nrmse_q FROM result_rows WHERE "case" IN ('NATION_1', 'NATION_2') GROUP BY ALL"""))
 def src_result_roots(spark, sf_dir):
-    rows = result_rows(spark, sf_dir).where("case in ('NATION_1', 'NATION_2')")
+    return _result_roots(spark, result_rows(spark, sf_dir).where("case in ('NATION_1', 'NATION_2')"))
+
+
+@query("src_result_roots_all", with_(RESULT_ROWS, rest="""SELECT model, task, "case", CAST(floor(arg_max(nrmse, root) * 1e9 + 0.5) AS BIGINT) AS nrmse_q FROM result_rows GROUP BY ALL"""))
+def src_result_roots_all(spark, sf_dir):
+    """Every nation; src_result_roots has two."""
+    return _result_roots(spark, result_rows(spark, sf_dir))
+
+
+def _result_roots(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows written to a folder for each root and read back, later roots first."""
     roots = []
     for root in ("F", "O"):
         path = shared_path(spark, "rows")
@@ -107,8 +117,17 @@ def src_result_roots(spark, sf_dir):
 @query("src_log_duration", "SELECT count(*) AS runs, CAST(sum(o_orderkey % 100) AS BIGINT) AS hours FROM orders WHERE o_orderkey < 500 AND o_orderkey % 100 > 0")
 def src_log_duration(spark, sf_dir):
     """Wall-clock from a log's first line: a pattern, a time, and a plausible range."""
+    return _log_duration(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500"))
+
+
+@query("src_log_duration_all", "SELECT count(*) AS runs, CAST(sum(o_orderkey % 100) AS BIGINT) AS hours FROM orders WHERE o_orderkey % 100 > 0")
+def src_log_duration_all(spark, sf_dir):
+    """Every order; src_log_duration has keys below 500."""
+    return _log_duration(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def _log_duration(spark: SparkSession, o: DataFrame) -> DataFrame:
     path = shared_path(spark, "logs")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500")
     start = F.to_timestamp(F.lit("2024-01-01T00:00:00+00:00"))
     end = start + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 100).cast("int"))
     o.select(F.concat(F.lit("run started 2024-01-01T00:00:00+00:00 ended "), F.date_format(end, "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("value")).write.text(path)
@@ -144,7 +163,16 @@ def decode_npy(files: DataFrame) -> DataFrame:
 @query("src_npy_frames", "SELECT vec_id, CAST(floor(list_sum([x::DOUBLE for x in embedding]) * 1e4 + 0.5) AS BIGINT) AS s FROM embeddings WHERE vec_id < 40")
 def src_npy_frames(spark, sf_dir):
     """Frames encoded as .npy bytes and decoded in Arrow batches."""
+    return _npy_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40"))
+
+
+@query("src_npy_frames_all", "SELECT vec_id, CAST(floor(list_sum([x::DOUBLE for x in embedding]) * 1e4 + 0.5) AS BIGINT) AS s FROM embeddings")
+def src_npy_frames_all(spark, sf_dir):
+    """Every frame; src_npy_frames has the first forty."""
+    return _npy_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
 
+def _npy_frames(vectors: DataFrame) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -154,5 +182,5 @@ def src_npy_frames(spark, sf_dir):
                 out.append(f.getvalue())
             yield pd.DataFrame({"path": b["vec_id"].astype(str), "content": out})
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40").select("vec_id", "embedding").mapInPandas(encode, "path string, content binary")
+    e = vectors.select("vec_id", "embedding").mapInPandas(encode, "path string, content binary")
     return decode_npy(e).select(F.col("path").cast("long").alias("vec_id"), q(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 1e4).alias("s"))

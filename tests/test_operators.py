@@ -109,3 +109,16 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
     shutil.copytree(f"{root}/fluxlake", tmp_path / "fluxlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 150"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+@pytest.mark.parametrize(
+    ("name", "whole"),
+    [
+        ("upsample_linear_n4_all", "SELECT 512 * count(DISTINCT vec_id // 4) FROM embeddings"),
+        ("src_npy_frames_all", "SELECT count(*) FROM embeddings"),
+        ("src_log_duration_all", "SELECT count(*) FROM orders WHERE o_orderkey % 100 > 0"),
+    ],
+)
+def test_whole_tables_of_spectral_and_sources(spark, sf_dir, duck, name, whole):
+    out, want = registry.queries()[name](spark, sf_dir), duck.sql(whole).fetchall()[0][0]
+    assert (out.first()["runs"] if "runs" in out.columns else out.count()) == want
