@@ -281,6 +281,14 @@ def shuffle_drop_last(spark, sf_dir):
     return r.select("event_id", batch.alias("batch")).groupBy("batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).where("n = 64")
 
 
+@query("shuffle_drop_last_all", with_(RUN_TS, rest="SELECT seed, batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT seed, event_id, (row_number() OVER (PARTITION BY seed ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) - 1) // 64 AS batch FROM run_ts) GROUP BY seed, batch HAVING count(*) = 64"))
+def shuffle_drop_last_all(spark, sf_dir):
+    """Every seed's samples shuffled in batches of its own; shuffle_drop_last has one seed."""
+    key = F.pmod(F.col("event_id") * 1103515245 + 12345, F.lit(2147483648))
+    batch = F.floor((F.row_number().over(Window.partitionBy("seed").orderBy(key, "event_id")) - 1) / 64).cast("long")
+    return run_ts(spark, sf_dir).select("seed", "event_id", batch.alias("batch")).groupBy("seed", "batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).where("n = 64")
+
+
 @query("split_chronological", "SELECT o_orderkey, CASE WHEN r <= 139 THEN 'train' WHEN r <= 169 THEN 'val' ELSE 'test' END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 200")
 def split_chronological(spark, sf_dir):
     """The first 200 rows in time: 139 to train, 30 to val, 31 to test."""

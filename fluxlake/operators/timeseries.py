@@ -238,10 +238,13 @@ def ts_cfl_step(spark, sf_dir):
     return run_ts(spark, sf_dir).where("K > 0").select("seed", "ord", q(cfl_step(F.col("K") / 100, F.lit(0.015), 0.02, 0.5, 0.02), 1e9).alias("dt_q"))
 
 
+def fading_sum(rows: DataFrame, key: str, order: str, x: str) -> DataFrame:
+    """b = b/2 + x in order 0..n, over all rows of a key: a sum weighted by 1/2 to the power of the rows that follow, in partial sums."""
+    end = rows.groupBy(key).agg(F.max(order).alias("n"))
+    return rows.join(end, key).groupBy(key).agg(F.sum(F.pow(F.lit(0.5), F.col("n") - F.col(order)) * F.col(x)).alias("b"))
+
+
 @query("ou_fold", with_(RUN_TS, rest="SELECT seed, CAST(floor(sum(pow(0.5, n - ord) * c) * 1000 + 0.5) AS BIGINT) AS b_q FROM (SELECT *, max(ord) OVER (PARTITION BY seed) AS n FROM run_ts) WHERE n - ord < 40 GROUP BY seed"))
 def ou_fold(spark, sf_dir):
-    """Exponentially fading memory b = b/2 + x, folded in time order over each seed's last 40 rows."""
-    r = run_ts(spark, sf_dir)
-    end = r.groupBy("seed").agg(F.max("ord").alias("n"))
-    last = r.join(end, "seed").where("n - ord < 40").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("ord", "c"))).alias("xs"))
-    return last.select("seed", q(F.aggregate("xs", F.lit(0.0), lambda b, x: b * 0.5 + x["c"]), 1000).alias("b_q"))
+    """Exponentially fading memory b = b/2 + x, folded in time order over each seed's whole series; what the DuckDB query leaves out is under its rounding."""
+    return fading_sum(run_ts(spark, sf_dir), "seed", "ord", "c").select("seed", q("b", 1000).alias("b_q"))

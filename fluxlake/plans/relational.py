@@ -39,6 +39,13 @@ def gen_join_full(spark, sf_dir):
     return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
 
 
+@query("gen_join_full_all", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def gen_join_full_all(spark, sf_dir):
+    """Both tables whole; gen_join_full has ranges of their keys."""
+    s, c = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "customer")
+    return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
+
+
 @query("gen_join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def gen_join_semi(spark, sf_dir):
     o = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
@@ -114,7 +121,17 @@ def gen_pivot(spark, sf_dir):
 
 @query("gen_unpivot", "SELECT l_orderkey, l_linenumber, k, CAST(floor(v * 100 + 0.5) AS BIGINT) AS v_q FROM (SELECT l_orderkey, l_linenumber, 'discount' AS k, l_discount AS v FROM lineitem WHERE l_orderkey < 50 UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem WHERE l_orderkey < 50)")
 def gen_unpivot(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_orderkey < 50").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return _rates(t(spark, sf_dir, "lineitem").where("l_orderkey < 50"))
+
+
+@query("gen_unpivot_all", "SELECT l_orderkey, l_linenumber, k, CAST(floor(v * 100 + 0.5) AS BIGINT) AS v_q FROM (SELECT l_orderkey, l_linenumber, 'discount' AS k, l_discount AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem)")
+def gen_unpivot_all(spark, sf_dir):
+    """Every line; gen_unpivot has order keys below 50."""
+    return _rates(t(spark, sf_dir, "lineitem"))
+
+
+def _rates(lines: DataFrame) -> DataFrame:
+    li = lines.select("l_orderkey", "l_linenumber", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     return li.unpivot(["l_orderkey", "l_linenumber"], ["discount", "tax"], "k", "v").select("l_orderkey", "l_linenumber", "k", q("v", 100).alias("v_q"))
 
 

@@ -122,3 +122,21 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
 def test_whole_tables_of_spectral_and_sources(spark, sf_dir, duck, name, whole):
     out, want = registry.queries()[name](spark, sf_dir), duck.sql(whole).fetchall()[0][0]
     assert (out.first()["runs"] if "runs" in out.columns else out.count()) == want
+
+
+@pytest.mark.parametrize(
+    ("name", "whole"),
+    [
+        ("gen_unpivot_all", "SELECT 2 * count(*) FROM lineitem"),
+        ("gen_join_full_all", "SELECT count(*) FROM (SELECT s_suppkey FROM supplier UNION SELECT c_custkey FROM customer)"),
+        ("shuffle_drop_last_all", "SELECT sum(n // 64) FROM (SELECT count(*) AS n FROM events GROUP BY user_id % 10)"),
+    ],
+)
+def test_whole_tables_of_plans_and_splits(spark, sf_dir, duck, name, whole):
+    assert registry.queries()[name](spark, sf_dir).count() == duck.sql(whole).fetchall()[0][0]
+
+
+def test_fading_sum_has_the_whole_series(spark):
+    df = spark.createDataFrame([("a", i, 2**50 if i == 0 else 1) for i in range(46)] + [("b", 0, 7)], "k string, i int, x long")
+    got = {r["k"]: r["b"] for r in timeseries.fading_sum(df, "k", "i", "x").collect()}
+    assert got["b"] == 7 and got["a"] == pytest.approx(2**5 + 2 - 2**-44, rel=1e-12)
