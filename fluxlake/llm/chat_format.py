@@ -6,7 +6,10 @@ the loss mask covers what the assistant says and the mark that ends it. A
 rendering is stored as rows, one a turn, each with its place in the whole, so
 that a conversation of any length needs no task that holds it all.
 
-Defined cases: null role is a speaker `unknown`, null text is empty, a null turn
+Defined cases: null role is a speaker `unknown`; speakers of one conversation whose
+names are equal once other characters than letters, digits, `_`, `.` and `-` are `_`
+have `~` and the bytes of the role in hex after the name, but for the one that is the
+name itself (the DuckDB query takes them for one speaker); null text is empty, a null turn
 comes first; rows without conversation are left out; turns with the same number
 follow each other by speaker and text; repeated rows are turns of their own; a
 conversation with none but system turns has no rendering; control marks inside a
@@ -28,8 +31,14 @@ def rotate(conversations: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.coalesce("role", F.lit("unknown")), "[^A-Za-z0-9_.-]", "_")
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_"))
     turns = conversations.where(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", name.alias("speaker"), said.alias("said"), F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / CHUNK).cast("long").alias("chunk")
+        "conv_id", "turn", "role", name.alias("name"), said.alias("said"), F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / CHUNK).cast("long").alias("chunk")
     )
+    # Roles of one conversation that share a name are told apart by their bytes; the one that is the name itself keeps it.
+    roles = turns.select("conv_id", "role", "name").distinct()
+    shared = roles.groupBy("conv_id", "name").agg(F.count("*").alias("sharing")).where("sharing > 1")
+    other = F.col("sharing").isNotNull() & ~F.col("role").eqNullSafe(F.col("name"))
+    speaker = F.when(other, F.concat("name", F.lit("~"), F.hex(F.coalesce("role", F.lit(""))))).otherwise(F.col("name"))
+    turns = turns.join(shared, ["conv_id", "name"], "left").select("conv_id", "turn", speaker.alias("speaker"), "said", "chunk")
     speakers = turns.where("speaker <> 'system'").select("conv_id", F.col("speaker").alias("perspective")).distinct()
     mine = F.col("speaker") == F.col("perspective")
     head = F.when(F.col("speaker") == "system", F.lit(OPEN + "system\n")).when(mine, F.lit(OPEN + "assistant\n")).otherwise(F.concat(F.lit(OPEN + "user name="), "speaker", F.lit("\n")))

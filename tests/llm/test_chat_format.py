@@ -32,3 +32,19 @@ def test_edges(spark):
     assert {r["perspective"] for r in out if r["conv_id"] == 1} == {"unknown", "a_b"}
     assert sum("< |im_end|>" in r["segment"] for r in out) == 4
     assert C.rotate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_speakers_whose_names_become_equal_stay_apart(spark):
+    roles = ["张", "李", "Анна", "Олег", "anna m", "anna_m", None, "unknown", "system"]
+    rows = [(1, 2 * i + k, r, f"turn {i}") for k in range(2) for i, r in enumerate(roles)] + [(2, 0, "张", "alone")]
+    out = C.rotate(spark.createDataFrame(rows, SCHEMA)).collect()
+    mine = {}
+    for r in out:
+        if r["conv_id"] == 1 and r["mask_length"]:
+            assert r["speaker"] == r["perspective"]
+            mine.setdefault(r["perspective"], set()).add(r["segment"].split("\n")[1].split("<")[0])
+    assert sorted(mine.values(), key=str) == [{f"turn {i}"} for i in range(8)]
+    assert {"anna_m", "unknown", "unknown~"} < set(mine)
+    heads = {r["segment"].split("\n")[0] for r in out if r["conv_id"] == 1 and r["perspective"] == "anna_m"}
+    assert len(heads) == 9
+    assert {r["perspective"] for r in out if r["conv_id"] == 2} == {"_"}
