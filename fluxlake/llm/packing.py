@@ -220,21 +220,24 @@ def _plan(counts: dict[int, int], length: int, least: float, groups: int) -> Pla
 
 
 class Tokens:
-    """Packed ids of texts; runs between white space recur and are remembered."""
+    """Packed ids of texts; runs between white space recur and are remembered. With `added`, the tokenizer's added tokens in a text are single ids, as in the library's plain encode; else they are text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path) if added else None
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.end = SEPARATOR.to_bytes(4, "little")
         self.bpe = self.model.model
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        model = self.plain if any(a in text for a in self.added) else self.model
+        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
         """Ids of one match of the pattern, by the library's merges alone."""
@@ -260,24 +263,24 @@ class Tokens:
                 if len(table) > REMEMBERED:
                     table.clear()
             # Python takes these control characters for white space, the tokenizer does not.
-            part = [None if t and ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) else (t or "").split() for t in texts[at : at + 500]]
+            part = [None if t and (any(a in t for a in self.added) or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) else (t or "").split() for t in texts[at : at + 500]]
             get, learn = self.known.get, self.learn
             for p, t in zip(part, texts[at : at + 500], strict=True):
                 out.append((self.ids(t) if p is None else b"".join([get(r) or learn(r) for r in p])) + self.end)
         return out
 
 
-_tokens: dict[str, Tokens] = {}
+_tokens: dict[tuple[str, bool], Tokens] = {}
 
 
-def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row for each document: its partition, id, number of ids, the length of its cut-off rest (0 if none), its rank by that length and of its full pieces within the partition, its pieces' CRC-32, and the ids if asked."""
     fields = [("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tail", pa.int32()), ("tail_rank", pa.int64()), ("full_rank", pa.int64()), ("crcs", pa.list_(pa.int64()))]
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokens.setdefault(path, None) or Tokens(path)
-        _tokens[path] = t
+        t = _tokens.get((path, added)) or Tokens(path, added)
+        _tokens[path, added] = t
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         full = 0
@@ -305,9 +308,9 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, kinds)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset, and its packed ids if asked."""
-    tokens = materialise(tokenise(docs, path, length, with_ids), "tokens")
+    tokens = materialise(tokenise(docs, path, length, with_ids, added), "tokens")
     here = tokens.groupBy("part", "tail").agg(F.count("*").alias("k"))
     counts = {int(r["tail"]): int(r["k"]) for r in here.where("tail > 0").groupBy("tail").agg(F.sum("k").alias("k")).collect()}  # at most length - 1 rows
     p = plan(counts, length)
@@ -357,4 +360,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), added=True)

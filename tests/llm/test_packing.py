@@ -70,3 +70,12 @@ def test_sequences_hold_their_pieces(documents):
 
 def test_empty(empty):
     assert K.pack(empty, PATH).count() == 0
+
+
+def test_added_tokens_are_ids_in_the_query(spark, tmp_path):
+    texts = ["hello <|endoftext|> x", "<|startoftext|>a b<|endoftext|>", "no token here", "a <|ENDOFTEXT|> b\x1cc", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(PATH)
+    want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, K.SEPARATOR], "<u4").tobytes() for i, x in enumerate(texts)}
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in K.op7_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(v) // 4, zlib.crc32(v)) for i, v in want.items()}
