@@ -6,6 +6,12 @@ All stages but the last return the columns of documents. A document leaves when
 its language is unknown, when its quality is low, or when one with a smaller id
 is a near-duplicate; secrets in the texts left are replaced; what remains is
 packed into sequences.
+
+Defined cases: documents with null, empty or letterless text leave in the first
+stage; texts of any length are read whole; of equal or near-equal texts the one with
+the smallest id stays, of rows that repeat an id and its words one; a repeated id with
+other words stays; null ids, languages and sources are kept as they are; further columns,
+whatever their names, go along until the last stage; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxlake.llm import language_id, ngram_join, packing, quality_gam, secret_scan
-from fluxlake.llm.common import materialise
+from fluxlake.llm.common import discard, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

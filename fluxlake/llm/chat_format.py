@@ -9,7 +9,7 @@ that a conversation of any length needs no task that holds it all.
 Defined cases: null role is a speaker `unknown`; speakers of one conversation whose
 names are equal once other characters than letters, digits, `_`, `.` and `-` are `_`
 have `~` and the bytes of the role in hex after the name, but for the one that is the
-name itself (the DuckDB query takes them for one speaker); null text is empty, a null turn
+name itself; null text is empty, a null turn
 comes first; rows without conversation are left out; turns with the same number
 follow each other by speaker and text; repeated rows are turns of their own; a
 conversation with none but system turns has no rendering; control marks inside a
@@ -66,9 +66,13 @@ def op6_chat_format(spark, sf_dir):
 
 
 ORACLE = r"""
-WITH t AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS speaker,
-    replace(coalesce(text, ''), '<|im_', '< |im_') AS said FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (
+  SELECT *, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT conv_id, name, count(*) AS sharing FROM (SELECT DISTINCT conv_id, role, name FROM c) GROUP BY conv_id, name
+), t AS (
+  SELECT c.conv_id, turn, CASE WHEN sharing > 1 AND role IS DISTINCT FROM c.name THEN c.name || '~' || hex(coalesce(role, '')) ELSE c.name END AS speaker,
+    replace(coalesce(text, ''), '<|im_', '< |im_') AS said FROM c JOIN k ON c.conv_id = k.conv_id AND c.name = k.name
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
 ), r AS (

@@ -1,9 +1,11 @@
-"""Shared helpers: checkpoint folder, byte-level word arrays, crc32 folds."""
+"""Shared helpers: checkpoint folder, bounded Arrow batches, byte-level word arrays, crc32 folds."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 500_000
+#: Bytes of a batch on its way to a worker; a longer row goes alone.
+ARROW_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,17 +23,58 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set, one of our own, but on a single machine only."""
     set_dir = spark.conf.get("spark.checkpoint.dir", "")
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.conf.get("fluxlake.shared.dir", "")
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="fluxlake-")
         spark.conf.set("fluxlake.shared.dir", own)
     return own
 
 
+def bounded(spark: SparkSession) -> None:
+    """From here on batches that go to workers hold ARROW_BYTES at most, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Gives memory that a task no longer holds back to the machine: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded size, by workers that keep nothing between tasks."""
+    bounded(df.sparkSession)
+
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(clean, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: so many rows and bytes of text at most; a longer text is a part of its own."""
+    offsets = _offsets(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -41,19 +86,18 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Like materialise, one row for each key, as a table in buckets by key: joins on the key read it without a shuffle."""
+    """Like materialise, as a table in buckets by key: joins on the key read it without a shuffle. df should be partitioned by the key already."""
     spark = df.sparkSession
     name = f"fluxlake_{what}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._written_at, out._table = path, name
     return out
 
 
 def discard(*written: DataFrame) -> None:
-    """Deletes what materialise or bucketed wrote, once nothing reads it any more."""
+    """Deletes what materialise, bucketed or components wrote, once nothing reads it any more."""
     for df in written:
         spark = df.sparkSession
         if getattr(df, "_table", None):
@@ -97,18 +141,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a column of texts and where each text starts in them."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, off, data = texts.buffers()
+    n = len(texts)
+    offsets = np.frombuffer(off, kind, n + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, offsets
+
+
 def steps(texts: pa.Array):
     """(first row, last row, bytes, offsets) of runs of at most STEP_BYTES; nulls are empty."""
     if texts.null_count:
         texts = texts.fill_null("")
-    if pa.types.is_large_string(texts.type):
-        kind = np.int64
-    else:
-        kind = np.int32
-    _, off, data = texts.buffers()
     n = len(texts)
-    offsets = np.frombuffer(off, kind, n + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    raw, offsets = _offsets(texts)
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, mapped, materialise
 from .components import components
 
 COSINE = 0.93
 #: Vectors of the sample that sets the thresholds; trees; vectors aimed at in a leaf of one label; the share of a node's spread on either side of a split that goes both ways; directions to draw from; deepest tree.
-SAMPLE, TREES, LEAF, SPILL, DIRECTIONS, DEEPEST = 20_000, 8, 400, 0.15, 256, 16
+SAMPLE, TREES, LEAF, SPILL, DIRECTIONS, DEEPEST = 20_000, 8, 400, 0.15, 256, 18
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 1024
 #: Splits must not cut dense groups: sample vectors of a node whose links are looked at, links needed to tell, share of them that a split may part, share of the node that may go both ways for that, directions tried before a node stays whole.
@@ -78,9 +78,10 @@ def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int
     directions /= np.linalg.norm(directions, axis=0)
     depth = int(min(DEEPEST, max(0, np.ceil(np.log2(max(1, size) / LEAF)))))
     nodes = (1 << depth) - 1
-    picks = rng.integers(0, DIRECTIONS, (trees, max(1, nodes)))
-    cuts, margins = np.zeros(picks.shape), np.zeros(picks.shape)
+    picks = rng.integers(0, DIRECTIONS, (trees, max(1, nodes)), np.int16)
+    cuts, margins = np.zeros(picks.shape, np.float32), np.zeros(picks.shape, np.float32)
     p = sample @ directions if len(sample) else np.zeros((0, DIRECTIONS))
+    middle, spread = (np.median(p, 0), p.std(0)) if len(sample) else (np.zeros(DIRECTIONS), np.zeros(DIRECTIONS))
     for t in range(trees):
         inside = {0: np.arange(len(p))}
         for node in range(nodes):
@@ -99,8 +100,8 @@ def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int
                         break
                 else:  # all go left: the node stays whole
                     cuts[t, node], margins[t, node] = np.inf, 0.0
-            elif node:  # too few to tell: as in the node above
-                cuts[t, node], margins[t, node] = cuts[t, (node - 1) // 2], margins[t, (node - 1) // 2]
+            else:  # too few to tell: as in the whole sample
+                cuts[t, node], margins[t, node] = middle[picks[t, node]], SPILL * spread[picks[t, node]]
             v = p[own, picks[t, node]]
             inside[2 * node + 1], inside[2 * node + 2] = own[v <= cuts[t, node]], own[v > cuts[t, node]]
         if nodes and np.isinf(cuts[t, 0]):  # this tree alone compares all pairs
@@ -191,7 +192,7 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
 
 def links(classes: DataFrame, forest: Forest, dim: int, threshold: float = COSINE) -> DataFrame:
     """(id, links, root) rows of classes (id, n, label, embedding): partial counts of linked vectors and links to a root, one row for each class and block pair with a link."""
-    shared = classes.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2**DEEPEST thresholds
+    shared = classes.sparkSession.sparkContext.broadcast(forest)  # at most TREES * 2**DEEPEST nodes of 10 bytes
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +202,7 @@ def links(classes: DataFrame, forest: Forest, dim: int, threshold: float = COSIN
             bounds = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaf, pa.int64()))], names=["id", "n", "label", "embedding", "leaves"])
 
-    indexed = materialise(classes.select("id", "n", "label", "embedding").mapInArrow(index, "id long, n long, label string, embedding array<double>, leaves array<long>"), "leaves")
+    indexed = materialise(mapped(classes.select("id", "n", "label", "embedding"), index, "id long, n long, label string, embedding array<double>, leaves array<long>"), "leaves")
     rows = indexed.select("*", F.explode("leaves").alias("leaf"))
     sizes = rows.groupBy("label", "leaf").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -212,6 +213,7 @@ def links(classes: DataFrame, forest: Forest, dim: int, threshold: float = COSIN
         "id", "n", "label", "leaf", "leaves", "embedding", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") != F.col("other")).alias("two"),
     )
+    bounded(classes.sparkSession)
     return pairs.groupBy("label", "leaf", "i", "j").applyInArrow(lambda t: _compare(t, threshold), "id long, links long, root long")
 
 

@@ -1,20 +1,24 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks. Each has its word count and link
-density, those of its neighbours, and marks of the regions and class names
-around it; a tree trained on a small labelled table of blocks says which belong
-to the article.
+density, those of its neighbours, marks of the regions and class names around it,
+and whether the page has an article region at all; a tree trained on a small
+labelled table of blocks says which belong to the article. Pages without such a
+region are judged by words and links of a block and its neighbours. An advert
+inside a line is a block of its own, beside the one that it interrupts.
 
 Defined cases: null or empty html gives empty text; an unclosed comment, script
 or tag runs to the end of the page; a page with only boilerplate gives empty
-text; repeated rows are treated row by row; an empty table gives no rows; further
-columns are not read.
+text; pages of any length are read whole, in one pass; repeated rows are treated
+row by row; an empty table gives no rows; further columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped, slices
 from .trees import Tree
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -35,6 +40,7 @@ CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "blockquote
 HINTS = set(
     "ad ads adv advert advertisement advertising adbox adsense banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations trending popular widget pagination pager tags login search form copyright legal disclaimer toolbar skip".split()
 )
+ADVERTS = set("ad ads adv advert advertisement advertising adbox adsense promo sponsor sponsored".split())
 COMMENTS = set("comment comments commentlist reply replies respond disqus discussion feedback reader".split())
 GOOD = set("article content main post story entry body text".split())
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
@@ -52,11 +58,15 @@ class Block:
     density: float = 0.0
 
 
-def _marks(attributes: str) -> set[str]:
+def _names(attributes: str) -> set[str]:
     names: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         names.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    out = set()
+    return names
+
+
+def _marks(attributes: str) -> set[str]:
+    names, out = _names(attributes), set()
     if names & COMMENTS:
         out.add("comments")
     if names & HINTS:
@@ -70,27 +80,37 @@ def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with white space folded and references decoded."""
     found: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    opened: Counter = Counter()  # names on the stack, so that an end tag without a start costs nothing
     current = Block("", frozenset())
+    beside: list[Block] = []  # adverts in the current block's lines
+    within: list[str] = []  # the inline elements from an advert's start on
     in_link = 0
     at = 0
+    tag = ""
+
+    def done(block: Block) -> None:
+        block.text = " ".join(entities.unescape("".join(block.parts)).split())
+        block.words = len(block.text.split())
+        if block.words:
+            block.density = min(1.0, len(" ".join(block.linked).split()) / block.words)
+            found.append(block)
 
     def close() -> None:
         nonlocal current
-        if current.parts:
-            current.text = " ".join(entities.unescape("".join(current.parts)).split())
-            current.words = len(current.text.split())
-            if current.words:
-                current.density = min(1.0, len(" ".join(current.linked).split()) / current.words)
-                found.append(current)
+        for block in (current, *beside):
+            if block.parts:
+                done(block)
+        beside.clear()
+        within.clear()
         current = Block(tag, stack[-1][1])
 
     def add(text: str) -> None:
         if text:
-            current.parts.append(text)
+            to = beside[-1] if within else current
+            to.parts.append(text)
             if in_link:
-                current.linked.append(entities.unescape(text))
+                to.linked.append(entities.unescape(text))
 
-    tag = ""
     while True:
         m = _PART.search(page, at)
         if not m:
@@ -101,18 +121,26 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         name = m[2].lower()
-        if name == "a":
-            in_link = 0 if m[1] else 1
+        if name in INLINE:
+            if m[1]:
+                if name in within:
+                    while within.pop() != name:
+                        pass
+            elif name not in _VOID and not m[3].rstrip().endswith("/") and (within or (m[3] and _names(m[3]) & ADVERTS)):
+                if not within:
+                    beside.append(Block(name, stack[-1][1] | {"hint"}))
+                within.append(name)
+            if name == "a":
+                in_link = 0 if m[1] else 1
             continue
         if m[1]:
-            if name in INLINE:
-                continue
-            if any(t == name for t, _ in stack):
+            if opened[name]:
                 close()
-                while stack.pop()[0] != name:
-                    pass
-                if not stack:
-                    stack.append(("", frozenset()))
+                while True:
+                    last, _ = stack.pop()
+                    opened[last] -= 1
+                    if last == name:
+                        break
             tag = ""
             close()
             continue
@@ -121,14 +149,12 @@ def blocks(page: str) -> list[Block]:
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if name in INLINE:
-            # A class on an inline element can mark an advert too; the block takes it over.
-            continue
         if name in REGIONS or name in CONTAINERS:
             regions = set(stack[-1][1]) | _marks(m[3])
             if name in REGIONS:
                 regions.add(REGIONS[name])
             stack.append((name, frozenset(regions)))
+            opened[name] += 1
             tag = name
             close()
         else:
@@ -148,12 +174,13 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     """One row for each block: own, previous and next words and link density, then marks."""
     n = len(found)
-    x = np.zeros((n + 2, 12))
+    x = np.zeros((n + 2, 13))
+    some = any("article" in b.regions for b in found)
     for i, b in enumerate(found, 1):
         r = b.regions
         x[i] = [
             min(b.words, 200), b.density, 0, 0, 0, 0, "article" in r, bool(r & {"menu", "head", "foot", "side", "form", "notice"}), "hint" in r, "comments" in r,
-            b.tag in {"h1", "h2", "h3", "h4", "h5", "h6"}, "\N{COPYRIGHT SIGN}" in b.text or "good" in r and 0.5,
+            b.tag in {"h1", "h2", "h3", "h4", "h5", "h6"}, "\N{COPYRIGHT SIGN}" in b.text or "good" in r and 0.5, some,
         ]
     x[1:-1, 2:4], x[1:-1, 4:6] = x[:-2, :2], x[2:, :2]
     return x[1:-1]
@@ -192,9 +219,21 @@ def _sized() -> Iterator[tuple[str, str]]:
             yield f"<article><p>{text(n)}</p><div class=comments>{text(m)}</div><div class=promo>{text(n)}</div><p>{text(m)}</p></article>", "1001"
 
 
+def _bare() -> Iterator[tuple[str, str]]:
+    """Pages whose elements have no names: menus and lists are links, the article is lines of many words and the short ones between them."""
+    text = lambda n: " ".join(["word"] * n)
+    links = lambda n, k: "".join(f"<tr><td><a>{text(k)}</a></td></tr>" for _ in range(n))
+    for n in (14, 20, 35, 60, 120, 200):
+        for m in (2, 4, 6, 9):
+            yield f"<table>{links(3, m)}<tr><td>{text(n)}</td></tr></table>", "0001"
+            yield f"<table>{links(2, m)}</table><h1>{text(m)}</h1><div>{text(n)}</div><div>{text(m)}</div><div>{text(n + 7)}</div><div>{text(n)}</div>{links(2, m)}", "00111110" + "0"
+            yield f"<div><a>{text(m)}</a> {text(1)}</div><p>{text(n)}</p><p>{text(n)} <a>{text(2)}</a></p><h2>{text(m)}</h2><p>{text(n)}</p><div><a>{text(m)}</a></div><div>{text(m)} &copy;</div>", "0111100"
+            yield f"<div><p>{text(n)}</p><p>{text(m)}</p><p>{text(n)}</p></div><table>{links(4, m)}</table>", "1110000"
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     rows, marks = [], []
-    for page, labels in [*LABELLED, *_sized()]:
+    for page, labels in [*LABELLED, *_sized(), *_bare()]:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {[b.text for b in found]}")
@@ -205,7 +244,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def model() -> Tree:
-    return Tree(*labelled(), depth=7)
+    return Tree(*labelled(), depth=10)
 
 
 def extract(page: str | None) -> str:
@@ -222,12 +261,11 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 2):
                 texts = [extract(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=schema)
 
-    return pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.selectExpr("cast(page_id as bigint) page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir):

@@ -28,18 +28,21 @@ further columns are not read. Tokens are compared by 64-bit hash, as are classes
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, materialise, mix, shingle_sets
+from .common import bucketed, discard, mapped, materialise, mix, shingle_sets, slices
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Permutations that propose groups; classes in a block; representatives of a group in a block of another permutation.
 KEYS, BLOCK, PIVOTS = 4, 512, 3
+#: Tokens in a block, on average, where classes are large.
+BLOCK_TOKENS = 500_000
 #: A token counted so often, within parts of the input, comes late in the order; so many at most, the most frequent ones. Both only change the time.
 FREQUENT, FREQUENT_MOST = 2, 1 << 18
 #: The largest filter of ids that the scan for sets gets: 8 MB.
@@ -112,7 +115,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held, size, seen = [], 0, set()
         yield count(held)
 
-    top = docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    top = mapped(docs.select("text"), run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     got = top.orderBy(F.desc("c"), "token").limit(FREQUENT_MOST).toArrow()
     token = got["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
@@ -154,8 +157,7 @@ def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFr
         order = _Order(*shared.value)
         seen: set[int] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1):
                 n, sig, keys, prefixes = [], [], [], []
                 for s in shingle_sets(part.column(1), WORDS):
                     n.append(len(s))
@@ -170,7 +172,7 @@ def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFr
                         keys.append(None)
                         prefixes.append(None)
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(g)
                     keys.append(_i64(np.array([mix(s ^ k).min() for k in _SEEDS])))
@@ -178,7 +180,7 @@ def _signatures(docs: DataFrame, token: np.ndarray, level: np.ndarray) -> DataFr
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, kind), pa.array(prefixes, kind)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s long, keys array<long>, prefix array<long>")
+    return mapped(docs, run, "doc_id long, n long, s long, keys array<long>, prefix array<long>")
 
 
 def _places(ids: pa.Array, size: int) -> np.ndarray:
@@ -198,43 +200,42 @@ def _filter(ids: DataFrame) -> np.ndarray:
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_i64(bits))], names=["word", "bits"])
 
-    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = mapped(ids, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 8, "<u8")
     words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return words.view(np.uint8)
 
 
 def _shared_tokens(signatures: DataFrame) -> DataFrame:
-    """(token, s, n) of the prefix tokens that more than one class has. Rows come sorted by token, so only a run's first row waits."""
+    """(token, s, n) of the prefix tokens that more than one class has, and for each such token a row without s whose n is the number of its classes. Rows come sorted by token, so only the last row and a count wait."""
     rows = signatures.where("prefix is not null").select(F.explode("prefix").alias("token"), "s", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None  # the last row so far
-        given = False  # whether it went out
-        for b in batches:
-            t, s, n = (b.column(k).to_numpy() for k in range(3))
-            if not len(t):
+        last: list[tuple[int, int, int]] = []  # the row that waits, if any
+        before = 0  # classes of its token that went out
+        for b in chain(batches, [None]):
+            more = [b.column(k).to_numpy() for k in range(3)] if b is not None else [np.zeros(0, np.int64)] * 3
+            t, s, n = (np.concatenate([np.array([r[k] for r in last], np.int64), v]) for k, v in enumerate(more))
+            if not len(t) or (b is not None and not b.num_rows):
                 continue
             new = np.ones(len(t), bool)  # a copy of the row before is none
             new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            if last is not None and t[0] == last[0] and s[0] == last[1]:
-                new[0] = False
             t, s, n = t[new], s[new], n[new]
-            if not len(t):
-                continue
-            same = t[1:] == t[:-1]
-            keep = np.zeros(len(t), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None and t[0] == last[0]:
-                keep[0] = True
-                if not given:
-                    t, s, n, keep = (np.concatenate([[v], a]) for v, a in zip((*last, True), (t, s, n, keep), strict=True))
-            last, given = (int(t[-1]), int(s[-1]), int(n[-1])), bool(keep[-1])
-            k = keep.astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(t[k].astype(np.int64)), pa.array(s[k].astype(np.int64)), pa.array(n[k].astype(np.int64))], names=["token", "s", "n"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "s").mapInArrow(run, "token long, s long, n long")
+            bounds = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            rows = np.diff(bounds)
+            classes = rows.copy()
+            classes[0] += before
+            out, ended = np.repeat(classes > 1, rows), classes > 1
+            last = []
+            if b is not None:  # the last token may go on
+                last, before = [(int(t[-1]), int(s[-1]), int(n[-1]))], int(classes[-1]) - 1
+                out[-1] = ended[-1] = False
+            heads, none = bounds[:-1][ended], np.zeros(int(out.sum()) + int(ended.sum()), bool)
+            none[int(out.sum()) :] = True
+            of = np.concatenate([s[out], np.zeros(len(heads), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[out], t[heads]])), pa.array(of, mask=none), pa.array(np.concatenate([n[out], classes[ended]]))], names=["token", "s", "n"])
+
+    return mapped(rows.repartition("token").sortWithinPartitions("token", "s"), run, "token long, s long, n long")
 
 
 def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -334,14 +335,19 @@ def _links(rows: DataFrame, keys: list[str], f: Callable[[pa.Table, int], tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     columns = [*keys, *(c for c in rows.columns if c not in keys)]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return mapped(rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
 
 
 def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of groups of two or more, with `block`: groups over BLOCK are dealt into blocks by hash."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
-    spread = F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")
-    return rows.join(sizes, keys).withColumn("block", spread).drop("size")
+    """Rows of groups of two or more, with `block`: groups over BLOCK classes or BLOCK_TOKENS tokens are dealt into blocks by hash."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"), _parts(F.sum("n"), F.count("*")).alias("parts")).where("size > 1").drop("size")
+    spread = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")
+    return rows.join(materialise(sizes, "sizes"), keys).withColumn("block", spread).drop("parts", "n")
+
+
+def _parts(tokens, rows):
+    """Blocks that so many tokens and rows are dealt into."""
+    return F.greatest(F.ceil(tokens / BLOCK_TOKENS), F.ceil(rows / BLOCK)).cast("long")
 
 
 def _labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -357,15 +363,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         raise ValueError("the prefixes are cut for a threshold of 80 percent or more")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = materialise(_signatures(d, *_frequent(d)), "prefixes")
-    tokens = materialise(_shared_tokens(wide), "tokens")
+    shared = materialise(_shared_tokens(wide), "tokens")
+    tokens, spread = shared.where("s is not null"), shared.where("s is null").select("token", F.col("n").alias("df"))
     signatures = materialise(wide.drop("prefix"), "signatures")
     discard(wide)
     # place: the tokens of a set that are shared at all and no rarer than this one.
-    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("df"), "token"))
     n = F.col("n")
-    asking = tokens.join(spread, "token").withColumn("place", place).where(F.col("place") >= _needed_of(n, F.lit(0), n * 2, percent))
-    asking = materialise(asking.select("token", "s", "n", "place"), "asking")
+    placed = tokens.join(spread, "token").withColumn("place", place)
+    placed = bucketed(placed.select("token", "s", "n", "place", (F.col("place") >= _needed_of(n, F.lit(0), n * 2, percent)).alias("asks")), "s", "placed")
+    discard(shared)
+    asking = placed.where("asks").drop("asks")
     some = asking.groupBy("s").agg(F.min("n").alias("n"))
     heads = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("keys", True).alias("keys"))
     nodes = materialise(some.join(heads, "s"), "nodes")
@@ -376,57 +384,63 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1):
                 place = _places(part.column(0), len(bits))
                 hit = part.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool).all(0)))
                 made = [s for s in shingle_sets(hit.column(1), WORDS) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in made], pa.int64()), pa.array([_i64(s) for s in made], pa.list_(pa.int64()))], names=["s", "tokens"])
 
-    sets = bucketed(d.mapInArrow(expand, "s long, tokens array<long>"), "s", "sets")
+    sets = mapped(d, expand, "s long, tokens array<long>").repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").dropDuplicates(["s"])
+    sets = bucketed(sets, "s", "sets")
 
+    # Joins below have a written table on either side: Spark can then split what one key, such as a large group, would send to one task.
     links = None
     for round_ in range(2):
         known = _labelled(nodes, links)
         ks = [0] if round_ == 0 else list(range(1, KEYS))
-        keyed = known.select("s", "component", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("keys")[k].alias("g")) for k in ks))).alias("kg")).select("s", "component", "kg.k", "kg.g")
+        keyed = known.select("s", "n", "component", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("keys")[k].alias("g")) for k in ks))).alias("kg")).select("s", "n", "component", "kg.k", "kg.g")
         if round_:
             # A group is represented by a few of its classes, and meets others only.
+            keyed = materialise(keyed, "keyed")
             mixed = keyed.groupBy("k", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k", "g")
-            keyed = keyed.join(mixed, ["k", "g"], "left_semi").groupBy("k", "g", "component", F.pmod(F.xxhash64("s", F.lit(9)), F.lit(PIVOTS)).alias("p")).agg(F.min("s").alias("s")).select("s", "k", "g")
-        rows = _blocks(keyed.select("s", "k", "g"), ["k", "g"]).join(sets, "s").select("k", "g", "block", "s", "tokens")
+            mixed = materialise(mixed, "mixed")
+            some_of = F.pmod(F.xxhash64("s", F.lit(9)), F.lit(PIVOTS)).alias("p")
+            keyed = keyed.join(mixed, ["k", "g"], "left_semi").groupBy("k", "g", "component", some_of).agg(F.min(F.struct("s", "n")).alias("of")).select("of.s", "of.n", "k", "g")
+        rows = _blocks(materialise(keyed.select("s", "n", "k", "g"), "rows"), ["k", "g"]).join(sets, "s").select("k", "g", "block", "s", "tokens")
         found = _links(rows, ["k", "g", "block"], _within, percent)
         links = materialise(found if links is None else found.union(links), "found")
 
     # The matrix: which groups hold a token in a prefix, with the sizes of their members.
     known = materialise(_labelled(nodes, links).select("s", "n", F.col("component").alias("g")), "groups")
-    groups = known.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    held = asking.select("token", "s", "place").join(known, "s")
-    mixed = held.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
-    held = materialise(held.join(mixed, "token", "left_semi").join(groups, "g").select("token", "s", "place", "n", "g", "size", "lo", "hi"), "held")
-    matrix = held.groupBy("token", *(F.col(c).alias(f"other_{c}") for c in ("g", "size", "lo", "hi"))).agg(F.max("place").alias("top"))
+    groups = materialise(known.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("tokens")), "sizes")
+    known_wide = materialise(known.join(groups.drop("tokens"), "g").select("s", "g", "size", "lo", "hi"), "known")
+    held = materialise(asking.join(known_wide, "s"), "held")
+    matrix = materialise(held.groupBy("token", *(F.col(c).alias(f"other_{c}") for c in ("g", "size", "lo", "hi"))).agg(F.max("place").alias("top")), "matrix")
     # Of two groups the smaller one's members ask the larger one.
     asks = (F.struct("size", "g") < F.struct("other_size", "other_g")) & (5 * F.col("other_hi") >= 4 * F.col("n")) & (4 * F.col("other_lo") <= 5 * F.col("n"))
     asks = asks & (F.least("place", "top") >= _needed_of(n, F.col("other_lo"), F.col("other_hi"), percent))
     asked = materialise(held.join(matrix, "token").where(asks).select("s", "n", F.col("other_g").alias("g"), F.col("other_lo").alias("lo"), F.col("other_hi").alias("hi")).distinct(), "asked")
     # The bound, in whole prefixes: tokens of the query that the group's union holds.
-    union = tokens.select("token", "s").join(known.join(asked.select("g").distinct(), "g", "left_semi"), "s").select("token", "g").distinct()
-    overlap = asked.join(tokens.select("s", "token"), "s").join(union, ["token", "g"]).groupBy("s", "g", "n", "lo", "hi").agg(F.count("*").alias("c"))
-    asked = materialise(overlap.where(F.col("c") >= _needed_of(n, F.col("lo"), F.col("hi"), percent)).select("s", "g"), "opened")
-    queries_of = asked.groupBy("g").agg(F.count("*").alias("asks"))
-    opened = queries_of.join(groups.select("g", "size"), "g").select("g", F.ceil(F.col("asks") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
+    wanted = materialise(asked.select("g").distinct(), "wanted")
+    wanted_of = materialise(known.join(wanted, "g", "left_semi").select("s", "g"), "wanted-of")
+    union = placed.select("token", "s").join(wanted_of, "s").select("token", "g").distinct()
+    overlap = asked.join(placed.select("s", "token"), "s").join(union, ["token", "g"]).groupBy("s", "g", "n", "lo", "hi").agg(F.count("*").alias("c"))
+    opened = materialise(overlap.where(F.col("c") >= _needed_of(n, F.col("lo"), F.col("hi"), percent)).select("s", "g", "n"), "opened")
+    queries_of = opened.groupBy("g").agg(F.count("*").alias("asks"), F.sum("n").alias("asked"))
+    parts = materialise(queries_of.join(groups, "g").select("g", _parts(F.col("asked"), F.col("asks")).cast("int").alias("qs"), _parts(F.col("tokens"), F.col("size")).cast("int").alias("ms")), "parts")
     part = lambda of: F.pmod(F.xxhash64("s", F.lit(5)), F.col(of).cast("long")).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    queries = asked.join(opened, "g").select("g", part("qs").alias("q"), all_of("ms").alias("m"), "s", F.lit(True).alias("query"))
-    members = known.select("g", "s").join(opened, "g").select("g", part("ms").alias("m"), all_of("qs").alias("q"), "s", F.lit(False).alias("query"))
+    queries = opened.join(parts, "g").select("g", part("qs").alias("q"), all_of("ms").alias("m"), "s", F.lit(True).alias("query"))
+    members = known.select("g", "s").join(parts, "g").select("g", part("ms").alias("m"), all_of("qs").alias("q"), "s", F.lit(False).alias("query"))
     rows = queries.unionByName(members).join(sets, "s").select("g", "q", "m", "s", "query", "tokens")
     links = materialise(_links(rows, ["g", "q", "m"], _opened, percent).union(links), "found")
-    discard(sets, tokens, asking, held)
 
-    of_class = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("id")).join(components(links).withColumnRenamed("id", "s"), "s", "left").select("s", "id", F.coalesce("component", "s").alias("component"))
+    united = components(links)
+    of_class = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("id")).join(united.withColumnRenamed("id", "s"), "s", "left").select("s", "id", F.coalesce("component", "s").alias("component"))
     of_class = materialise(of_class, "classes")
-    smallest = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    smallest = materialise(of_class.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     labels = materialise(of_class.join(smallest, "component").select("s", "component_id"), "labels")
+    discard(sets, placed, nodes, known, groups, known_wide, held, matrix, asked, wanted, wanted_of, opened, parts, links, united, of_class, smallest)
     return signatures.select("doc_id", F.col("n").alias("n_shingles"), "s").join(labels, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise, slices
 
 LENGTH = 2048
 SEPARATOR = 0
 #: Ways to try: the share of a sequence from which a length is large, and the number of groups of large lengths.
 TRIES = ((1 / 2, 24), (1 / 3, 160), (1 / 6, 64))
 #: Runs of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _RANK = 1 << 44
 #: The printable stand-ins of bytes in byte-level vocabularies: bytes that are printable in Latin-1 stand for themselves, the rest in order from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -227,17 +227,21 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path) if added else None
-        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
+        self.model.encode_special_tokens = True  # that is, as text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if added else []
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.end = SEPARATOR.to_bytes(4, "little")
         self.bpe = self.model.model
 
     def ids(self, text: str) -> bytes:
-        model = self.plain if any(a in text for a in self.added) else self.model
-        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not any(a in text for a in self.added):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.model.encode_special_tokens = False
+        try:
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.model.encode_special_tokens = True
 
     def piece(self, p: str) -> bytes:
         """Ids of one match of the pattern, by the library's merges alone."""
@@ -245,8 +249,8 @@ class Tokens:
         return found
 
     def learn(self, run: str) -> bytes:
-        """Runs of Latin letters, digits and marks recur in few pieces, in which case and neighbours do not matter. Others go through the whole tokenizer."""
-        if run.isascii() or max(run) < "\u0250":
+        """Runs of Latin letters, digits and printable marks recur in few pieces, in which case and neighbours do not matter. Others go through the whole tokenizer."""
+        if run.isprintable() and (run.isascii() or max(run) < "\u0250"):
             low = run.lower()
             get, piece = self.pieces.get, self.piece
             found = get(low) or piece(low) if low.isalpha() else b"".join([get(p) or piece(p) for p in _PIECES(low)])
@@ -287,8 +291,7 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
         t.known.clear()  # of another task
         t.pieces.clear()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in slices(batch, 1):
                 packed = t.encode(b.column(1).to_pylist())
                 n = [len(p) // 4 for p in packed]
                 tails, tail_ranks, fulls, crcs = [], [], [], []
@@ -305,7 +308,7 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
         t.pieces.clear()
 
     kinds = "part int, doc_id long, n long, tail int, tail_rank long, full_rank long, crcs array<long>" + ", ids binary" * with_ids
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, kinds)
+    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, kinds)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, added: bool = False) -> DataFrame:
@@ -348,7 +351,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return ranked.mapInArrow(run, kinds)
+    return mapped(ranked, run, kinds)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

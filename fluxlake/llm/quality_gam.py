@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, steps, windows
+from .common import Words, fold, mapped, steps, windows
 
 #: The training sample: labelled rows at most, chosen by a hash of the id.
 SAMPLE_ROWS = 12_000
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Gam:
             x = features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    got = picked.mapInArrow(run, "quality int, x array<double>").toArrow()
+    got = mapped(picked, run, "quality int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, len(FEATURES))
     y = np.array(got.column("quality").to_pylist(), float)
     order = np.lexsort([*x.T, y])  # the rows' order must not matter
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
             s = shared.value.score(features(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Gam) -> DataFrame:
@@ -247,7 +247,7 @@ def keep(docs: DataFrame, model: Gam) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.score(features(b.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op5_quality_gam(spark, sf_dir):

@@ -77,14 +77,42 @@ def test_repeated_rows_link(spark):
     assert [(r["n_links"], r["component_id"]) for r in out] == [(2, 5)] * 3
 
 
-@pytest.mark.parametrize("name", ["check_h"])
-def test_recall_on_a_larger_table(spark, name):
-    df = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet").where("label = 1")
-    x = df.toPandas()
-    v = np.stack(x["embedding"].to_numpy()).astype(float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    want = int((v @ v.T >= D.COSINE).sum()) - len(v)
-    assert 0.9 * want <= D.near_duplicates(df).agg({"n_links": "sum"}).first()[0] <= want
+def planted(n, pairs, cosine, dim=64, seed=1):
+    """n vectors anywhere, and for the first ones a partner each at this cosine."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, r = x[:pairs], rng.normal(size=(pairs, dim))
+    r -= (r * a).sum(1, keepdims=True) * a
+    return x, cosine * a + np.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("size", "depth"), [(100_000, 8), (1_600_000, 12), (26_000_000, 16)])
+@pytest.mark.parametrize("cosine", [0.93, 0.94, 0.96])
+def test_recall_of_deep_trees(size, depth, cosine):
+    x, y = planted(40_000, 500, cosine)
+    f = D.plant(x[np.random.default_rng(0).choice(len(x), D.SAMPLE, replace=False)], size, 64)
+    assert f.depth == depth
+
+    def held(v):
+        out = [set() for _ in v]
+        for r, leaf in zip(*f.leaves(v), strict=True):
+            out[r].add(leaf)
+        return out
+
+    assert np.mean([not a.isdisjoint(b) for a, b in zip(held(x[:500]), held(y), strict=True)]) >= 0.95
+
+
+def test_recall_of_the_query_with_deep_trees(spark, monkeypatch):
+    monkeypatch.setattr(D, "LEAF", 20)
+    x, y = planted(5_500, 500, 0.935, dim=24)
+    v = np.concatenate([x, y]).astype(np.float32)
+    want = v.astype(float)
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    want = int((want @ want.T >= D.COSINE).sum()) - len(v)
+    assert D.plant(x, len(v), 24).depth >= 8
+    got = D.near_duplicates(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], SCHEMA)).agg({"n_links": "sum"}).first()[0]
+    assert want >= 1000 and 0.9 * want <= got <= want
 
 
 def dense(seed, n, dim=64, far=0, cosine=0.95):

@@ -36,3 +36,27 @@ def test_edges(spark):
     assert [t for i, t in got if i == 3] == ["unclosed text"] * 2
     assert next(t for i, t in got if i == 6) == ("word " * 100_000).strip()
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_adverts_within_a_line_go():
+    assert H.extract("<article><p>By <span class=ad>buy <b>this</b> now</span> end <em>of</em> it</p><p>More.</p></article>") == "By end of it More."
+    assert H.extract("<p>By <span class='x sponsored'>buy this</span> end</p>") == "By end"
+
+
+def test_pages_without_names_are_judged_by_words_and_links():
+    text = " ".join(["lorem"] * 22)
+    assert H.extract(f"<table><tr><td><a href=1>Home</a></td><td><a href=2>News</a></td></tr><tr><td>{text}</td></tr><tr><td><a>Next</a></td></tr></table>") == text
+    used = set(H.model().feature.tolist())
+    assert {0, 1} <= used  # own words and link density
+
+
+def test_unmatched_end_tags_cost_nothing():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        H.extract("<div>" * n + "</p>" * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(0.02, seconds(10_000))
