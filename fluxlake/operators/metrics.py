@@ -219,8 +219,8 @@ def early_stop(losses: DataFrame, key: str, order: str, loss: str, patience: int
     return d.groupBy(key).agg(F.min(F.when(F.col("idle") >= patience, F.col(order))).alias("stop"))
 
 
-@query("early_stop", "SELECT l_suppkey, min(CASE WHEN idle >= 3 THEN e END) AS stop FROM (SELECT l_suppkey, e, e - max(better) OVER (PARTITION BY l_suppkey ORDER BY e) AS idle FROM (SELECT *, CASE WHEN best IS NULL OR loss < best * (1 - 0.01::DOUBLE) THEN e END AS better FROM (SELECT l_suppkey, e, loss, min(loss) OVER (PARTITION BY l_suppkey ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS BIGINT) AS e, l_extendedprice AS loss FROM lineitem)))) GROUP BY l_suppkey")
+@query("early_stop", "SELECT l_suppkey, min(CASE WHEN idle >= 3 THEN e END) AS stop FROM (SELECT l_suppkey, e, e - max(better) OVER (PARTITION BY l_suppkey ORDER BY e) AS idle FROM (SELECT *, CASE WHEN best IS NULL OR loss < best * (1 - 0.01::DOUBLE) THEN e END AS better FROM (SELECT l_suppkey, e, loss, min(loss) OVER (PARTITION BY l_suppkey ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS BIGINT) AS e, l_extendedprice AS loss FROM lineitem)))) GROUP BY l_suppkey")
 def q_early_stop(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    e = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).cast("long")
+    e = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).cast("long")
     return early_stop(li.select("l_suppkey", e.alias("e"), F.col("l_extendedprice").alias("loss")), "l_suppkey", "e", "loss", 3, 0.01)

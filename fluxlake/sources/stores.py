@@ -19,19 +19,21 @@ from ..registry import query
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of the cluster; a temporary folder only where none is set."""
+    """A new path in the shared folder of the cluster. Where none is set, in a folder of our own, but on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("fluxlake.own.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fluxlake-")
         spark.conf.set("fluxlake.own.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def write_store(frames: DataFrame, path: str, channels: list[str]) -> None:
-    """Frames partitioned by case and seed, sorted by ordinal; the attributes, with the completion mark, last."""
+def write_store(frames: DataFrame, path: str, channels: list[str], order: str = "ord") -> None:
+    """Frames partitioned by case and seed, each file sorted by ordinal; the attributes, with the completion mark, last."""
     spark = frames.sparkSession
     # One case and seed may be large: it is dealt into as many files as it needs.
-    frames.write.partitionBy("case", "seed").parquet(f"{path}/frames")
+    frames.sortWithinPartitions("case", "seed", order).write.partitionBy("case", "seed").parquet(f"{path}/frames")
     spark.createDataFrame([(True, channels)], "complete boolean, channels array<string>").coalesce(1).write.parquet(f"{path}/attrs")
 
 

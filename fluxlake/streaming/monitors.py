@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ from ..registry import query
 from ..sources.stores import shared_path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, late: str = "1 day") -> DataFrame:
-    """The events as a stream of files, with a watermark."""
+def event_stream(spark: SparkSession, sf_dir: str, late: str = "1 day", files: int | None = None) -> DataFrame:
+    """The events as a stream of files, with a watermark; so many files a micro-batch, all at once if not given."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).parquet(path + "*")
+    s = spark.readStream.schema(schema)
+    if files:
+        s = s.option("maxFilesPerTrigger", files)
+    s = s.parquet(path + "*")
     return s.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", late)
 
 
@@ -32,7 +36,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)  # without the folders' batch
 
 
 _W = "CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT)"
@@ -81,25 +85,33 @@ SENTINEL = "seed long, since_us long, t_us long, low_count long"
 
 
 def sentinel(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: since when the level has been low, and how many rows of it. An alarm row for each row that makes it longer than allowed."""
+    """State: since when the level has been low, and how many rows of it. An alarm row for each row that makes it longer than allowed. A key's rows of one micro-batch come in several chunks, in any order: they are put in order together, 24 bytes a row."""
     since, count = state.get if state.exists else (-1, 0)
+    us, event, c = (np.concatenate(v) for v in zip(*((b["us"].to_numpy(), b["event_id"].to_numpy(), b["c"].to_numpy()) for b in batches), strict=True))
+    order = np.lexsort([event, us])
     out = []
-    for b in batches:
-        for t, c in b.sort_values(["us", "event_id"])[["us", "c"]].itertuples(index=False):
-            if c >= 5000:
-                since, count = -1, 0
-                continue
-            since, count = (t, 1) if since < 0 else (since, count + 1)
-            if t - since > 14_400_000_000:
-                out.append((key[0], since, t, count))
+    for t, low in zip(us[order].tolist(), (c[order] < 5000).tolist(), strict=True):
+        if not low:
+            since, count = -1, 0
+            continue
+        since, count = (t, 1) if since < 0 else (since, count + 1)
+        if t - since > 14_400_000_000:
+            out.append((key[0], since, t, count))
     state.update((int(since), int(count)))
     yield pd.DataFrame(out, columns=["seed", "since_us", "t_us", "low_count"])
 
 
-@query("st_sentinel")
+def alarms(events: DataFrame) -> DataFrame:
+    """The sentinel over a stream of events, by seed."""
+    s = events.select((F.col("user_id") % 10).alias("seed"), "event_id", F.unix_micros("time").alias("us"), q("value", 100).alias("c"))
+    return s.groupBy("seed").applyInPandasWithState(sentinel, SENTINEL, "since long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+@query("st_sentinel", """SELECT seed, since_us, t_us, low_count FROM (SELECT seed, us AS t_us, min(us) OVER w AS since_us, row_number() OVER w AS low_count FROM (
+    SELECT *, sum(CASE WHEN c >= 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY seed ORDER BY us, event_id) AS island FROM (SELECT user_id % 10 AS seed, event_id, epoch_us(ts) AS us, CAST(floor(value * 100 + 0.5) AS BIGINT) AS c FROM events)
+  ) WHERE c < 5000 WINDOW w AS (PARTITION BY seed, island ORDER BY us, event_id)) WHERE t_us - since_us > 14400000000""")
 def st_sentinel(spark, sf_dir):
-    s = event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("seed"), "event_id", F.unix_micros("time").alias("us"), q("value", 100).alias("c"))
-    return drain(s.groupBy("seed").applyInPandasWithState(sentinel, SENTINEL, "since long, n long", "append", GroupStateTimeout.NoTimeout), "append")
+    return drain(alarms(event_stream(spark, sf_dir)), "append")
 
 
 @query("st_batch_session", "SELECT user_id, min(u) AS first_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN u - prev >= 21600000000 OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY u) AS s FROM (SELECT user_id, epoch_us(ts) AS u, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s")
