@@ -100,10 +100,10 @@ def m_decay_floor(spark, sf_dir):
     return decay_safe(f.join(k0, "run"), F.col("ke"), F.col("k0")).select("frame", q("e").alias("e_q"))
 
 
-@query("gate_laminar", "SELECT user_id AS run, avg(value) / 8000 >= 0.03::DOUBLE AS kept, avg(value) / 8000 > 0.03::DOUBLE AS kept_strictly FROM events GROUP BY user_id")
+@query("gate_laminar", "SELECT user_id AS run, avg(value) / 1650 >= 0.03::DOUBLE AS kept, avg(value) / 1650 > 0.03::DOUBLE AS kept_strictly FROM events GROUP BY user_id")
 def gate_laminar(spark, sf_dir):
     """Runs whose mean dissipation shows turbulence: at least the bound, and, where that is asked, more."""
-    eps = F.avg("value") / 8000
+    eps = F.avg("value") / 1650
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg((eps >= LAMINAR).alias("kept"), (eps > LAMINAR).alias("kept_strictly"))
 
 
