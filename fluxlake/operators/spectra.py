@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..fixtures import SPECTRUM, spectrum, with_
 from ..model import q
 from ..registry import query
-from .timeseries import islands
 
 #: Length that makes the resolved range of the fixture spectra reach k eta = 1.28.
 ETA = 0.04
@@ -86,10 +85,10 @@ def spec_upticks(spark, sf_dir):
           rest="SELECT seed, coalesce(longest, 0) AS longest, decays, CASE WHEN coalesce(longest, 0) >= 3 OR NOT decays THEN '**FAIL**' ELSE 'pass' END AS verdict FROM tail LEFT JOIN run USING (seed)"),
 )
 def spec_pileup(spark, sf_dir):
-    """Pile-up at the grid scale: a run of three upticks, or a last fifth that does not fall."""
+    """Pile-up at the grid scale: upticks in three adjacent shells (one that is missing ends a run), or a last fifth that does not fall."""
     w = Window.partitionBy("seed").orderBy("k")
     z = spectrum(spark, sf_dir).where("k >= 13").withColumn("up", F.col("E") > F.lag("E").over(w))
-    run = islands(z, "seed", "k", F.col("up")).groupBy("seed", "island").agg(F.count("*").alias("c")).groupBy("seed").agg(F.max("c").alias("longest"))
+    run = z.where("up").withColumn("run", F.col("k") - F.row_number().over(w)).groupBy("seed", "run").agg(F.count("*").alias("c")).groupBy("seed").agg(F.max("c").alias("longest"))
     ranked = z.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("seed")))
     tail = ranked.where("r > floor(0.8D * n)").groupBy("seed").agg((F.max_by("E", "k") < F.min_by("E", "k")).alias("decays"))
     longest = F.coalesce("longest", F.lit(0)).cast("long")
