@@ -47,6 +47,8 @@ BLOCK_TOKENS = 500_000
 FREQUENT, FREQUENT_MOST = 2, 1 << 18
 #: The largest filter of ids that the scan for sets gets: 8 MB.
 FILTER_BITS = 1 << 26
+#: Rows of one token that wait until all of them are counted.
+WAIT = 100_000
 #: Tokens that one counting step holds.
 STEP_TOKENS = 1_000_000
 
@@ -207,15 +209,19 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 
 def _shared_tokens(signatures: DataFrame) -> DataFrame:
-    """(token, s, n) of the prefix tokens that more than one class has, and for each such token a row without s whose n is the number of its classes. Rows come sorted by token, so only the last row and a count wait."""
+    """(token, s, n, df) of the prefix tokens that more than one class has; df is the number of its classes.
+
+    Rows come sorted by token and wait for the end of their token, up to WAIT of them: rows of a more
+    frequent token go out without df, and one row without s gives it at the end."""
     rows = signatures.where("prefix is not null").select(F.explode("prefix").alias("token"), "s", "n")
+    wait = WAIT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, int, int]] = []  # the row that waits, if any
-        before = 0  # classes of its token that went out
+        held = [np.zeros(0, np.int64)] * 3  # rows of the last token that wait
+        before = 0  # classes of that token that went out
         for b in chain(batches, [None]):
             more = [b.column(k).to_numpy() for k in range(3)] if b is not None else [np.zeros(0, np.int64)] * 3
-            t, s, n = (np.concatenate([np.array([r[k] for r in last], np.int64), v]) for k, v in enumerate(more))
+            t, s, n = (np.concatenate(x) for x in zip(held, more, strict=True))
             if not len(t) or (b is not None and not b.num_rows):
                 continue
             new = np.ones(len(t), bool)  # a copy of the row before is none
@@ -223,19 +229,30 @@ def _shared_tokens(signatures: DataFrame) -> DataFrame:
             t, s, n = t[new], s[new], n[new]
             bounds = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
             rows = np.diff(bounds)
-            classes = rows.copy()
-            classes[0] += before
-            out, ended = np.repeat(classes > 1, rows), classes > 1
-            last = []
+            df, late = rows.copy(), np.zeros(len(rows), bool)
+            df[0] += before
+            late[0] = before > 0
+            go, total = df > 1, late.copy()
+            out = np.repeat(go, rows)
+            held = [np.zeros(0, np.int64)] * 3
             if b is not None:  # the last token may go on
-                last, before = [(int(t[-1]), int(s[-1]), int(n[-1]))], int(classes[-1]) - 1
-                out[-1] = ended[-1] = False
-            heads, none = bounds[:-1][ended], np.zeros(int(out.sum()) + int(ended.sum()), bool)
-            none[int(out.sum()) :] = True
-            of = np.concatenate([s[out], np.zeros(len(heads), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t[out], t[heads]])), pa.array(of, mask=none), pa.array(np.concatenate([n[out], classes[ended]]))], names=["token", "s", "n"])
-
-    return mapped(rows.repartition("token").sortWithinPartitions("token", "s"), run, "token long, s long, n long")
+                total[-1] = False
+                late[-1] |= rows[-1] > wait
+                keep = 1 if rows[-1] > wait else int(rows[-1])
+                held, before = [v[-keep:] for v in (t, s, n)], int(df[-1]) - keep
+                out[-keep:] = False
+            heads = np.zeros(int(total.sum()), np.int64)
+            none = np.r_[np.zeros(int(out.sum()), bool), np.ones(len(heads), bool)]
+            open_ = np.r_[np.repeat(late, rows)[out], np.zeros(len(heads), bool)]
+            columns = [np.r_[t[out], t[bounds[:-1][total]]], np.r_[s[out], heads], np.r_[n[out], heads], np.r_[np.repeat(df, rows)[out], df[total]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=m) for c, m in zip(columns, (None, none, none, open_), strict=True)], names=["token", "s", "n", "df"])
+
+    shared = materialise(mapped(rows.repartition("token").sortWithinPartitions("token", "s"), run, "token long, s long, n long, df long"), "tokens")
+    ready = shared.where("s is not null and df is not null")
+    rest = shared.where("s is not null and df is null").drop("df").join(shared.where("s is null").select("token", "df"), "token")
+    out = ready.unionByName(rest)
+    out._written_at = shared._written_at  # what `discard` of the result deletes
+    return out
 
 
 def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -363,16 +380,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         raise ValueError("the prefixes are cut for a threshold of 80 percent or more")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = materialise(_signatures(d, *_frequent(d)), "prefixes")
-    shared = materialise(_shared_tokens(wide), "tokens")
-    tokens, spread = shared.where("s is not null"), shared.where("s is null").select("token", F.col("n").alias("df"))
+    tokens = _shared_tokens(wide)
     signatures = materialise(wide.drop("prefix"), "signatures")
     discard(wide)
     # place: the tokens of a set that are shared at all and no rarer than this one.
     place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("df"), "token"))
     n = F.col("n")
-    placed = tokens.join(spread, "token").withColumn("place", place)
+    placed = tokens.withColumn("place", place)
     placed = bucketed(placed.select("token", "s", "n", "place", (F.col("place") >= _needed_of(n, F.lit(0), n * 2, percent)).alias("asks")), "s", "placed")
-    discard(shared)
+    discard(tokens)
     asking = placed.where("asks").drop("asks")
     some = asking.groupBy("s").agg(F.min("n").alias("n"))
     heads = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("keys", True).alias("keys"))

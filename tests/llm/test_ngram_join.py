@@ -71,6 +71,19 @@ def test_small_blocks_and_a_bad_order_lose_nothing(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_frequent_tokens_that_do_not_wait_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(J, "WAIT", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = corpus(9, 120)
+        assert got(spark, rows) == brute(rows)
+        made = J._shared_tokens(spark.createDataFrame([(s, 9, [t for t in range(1, 8) if s % t == 0]) for s in [*range(1, 40), *range(1, 40)]], "s long, n long, prefix array<long>"))
+        want = sorted((t, s, 9, 39 // t) for t in range(1, 8) for s in range(t, 40, t))
+        assert sorted(tuple(r) for r in made.select("token", "s", "n", "df").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_the_matrix_alone_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(J, "_within", lambda t, p: (t["s"].to_numpy()[:0], t["s"].to_numpy()[:0]))
     rows = corpus(4, 120)
