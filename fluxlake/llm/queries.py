@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, ngram_join, packing, quality_gam, quality_rules, secret_scan
+from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, ngram_join, packing, quality_gam, quality_rules, secret_scan, topk_search
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_topk_search": topk_search.op11_topk_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE, "op11_topk_search": topk_search.ORACLE}
