@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, ngram_join, packing, quality_gam, quality_rules, secret_scan, topk_search
+from . import bpe, chat_format, embedding_dedup, html_extraction, language_id, ngram_join, packing, quality_gam, quality_rules, secret_scan, topk_search, vector_codes
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_topk_search": topk_search.op11_topk_search,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE, "op11_topk_search": topk_search.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE, "op11_topk_search": topk_search.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
