@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bucketed, discard, mapped, materialise, mix, shingle_sets, slices
 from .components import components
@@ -374,8 +375,8 @@ def _labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
     return nodes.join(components(links).withColumnRenamed("id", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _classified(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, s (the set's signature), component and component_id of every document; the last three are null without words."""
     if not PERCENT <= percent <= 100:
         raise ValueError("the prefixes are cut for a threshold of 80 percent or more")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -455,25 +456,50 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_class = signatures.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("id")).join(united.withColumnRenamed("id", "s"), "s", "left").select("s", "id", F.coalesce("component", "s").alias("component"))
     of_class = materialise(of_class, "classes")
     smallest = materialise(of_class.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
-    labels = materialise(of_class.join(smallest, "component").select("s", "component_id"), "labels")
+    labels = materialise(of_class.join(smallest, "component").select("s", "component", "component_id"), "labels")
     discard(sets, placed, nodes, known, groups, known_wide, held, matrix, asked, wanted, wanted_of, opened, parts, links, united, of_class, smallest)
-    return signatures.select("doc_id", F.col("n").alias("n_shingles"), "s").join(labels, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signatures.select("doc_id", F.col("n").alias("n_shingles"), "s").join(labels, "s", "left").select("doc_id", "n_shingles", "s", "component", "component_id")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    return _classified(docs, percent).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """The documents with a first column `s`, the signature of their set (null without words), all other columns named with an underscore before."""
+    at, names = docs.columns.index("text"), ["s", *(f"_{c}" for c in docs.columns)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, at):
+                s = [_signature(v) if len(v) else None for v in shingle_sets(part.column(at), WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), *part.columns], names=names)
+
+    return mapped(docs, run, StructType([StructField("s", LongType()), *(StructField(f"_{f.name}", f.dataType) for f in docs.schema)]))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns as they are, of which each group keeps the one with the smallest id. Documents without words all stay; of rows that repeat an id and its words one stays."""
-    found = materialise(jaccard_components(docs, percent), "components")
+    """The documents, all columns as they are, of which each group keeps one row, that with the smallest id (null ids come last). Documents without words all stay; of rows that repeat an id and have no words one stays.
+
+    A row goes by its own words: a repeated id with other words is a document of its own."""
+    found = materialise(_classified(docs, percent), "components")
+    # Ids of one row each are told apart by the id alone; repeated and null ids by id and signature.
+    again = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "again")
     # What goes is less than what stays, and nearly always small.
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    goes = found.where("doc_id <> component_id").select("doc_id").distinct()
     if not again.limit(1).count():
-        return kept
-    names = [f"_{c}" for c in docs.columns]  # no clash with the helper column
-    one = kept.join(again, "doc_id", "left_semi").select(*docs.columns).toDF(*names)
-    said = F.array_remove(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t-\\r]+"), "")
-    one = one.withColumn("said", F.xxhash64(F.coalesce(said, F.array()), F.size(F.coalesce(said, F.array()))))
-    one = one.dropDuplicates(["_doc_id", "said"]).drop("said").toDF(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    repeated = F.col("doc_id").eqNullSafe(F.col("again"))
+    again = again.select(F.col("doc_id").alias("again"))
+    alone = docs.join(again, repeated, "left_anti")
+    alone = alone.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    rows = _signed(docs.join(again, repeated, "left_semi").select(*docs.columns))
+    said = found.where("s is not null").groupBy("s").agg(F.first("component").alias("c"), F.first("component_id").alias("least"))
+    rows = rows.join(said, "s", "left")
+    # One row of those with the group's smallest id; without words one for each id, null ids too.
+    first = rows.where(F.col("s").isNull() | F.col("_doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["_doc_id", "c"])
+    return alone.unionByName(first.select(*(F.col(f"_{c}").alias(c) for c in docs.columns)))
 
 
 def op8_ngram_join(spark, sf_dir):

@@ -122,3 +122,13 @@ def test_a_repeated_row_stays_once(spark):
     kept = J.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], (r["text"] or "").lower().split()[:1]) for r in kept.collect()) == [(3, ["a"]), (3, ["quite"]), (4, [])]
+
+
+def test_rows_go_by_their_own_words(spark):
+    a, b, c = "one two three four five six seven", "quite another text of some seven words", "a third one that is like nothing else"
+    rows = [(1, a), (5, a), (5, b), (5, b + " "), (None, a), (None, a), (None, c), (None, c.upper()), (7, None), (None, None), (None, ""), (9, c + " nor one more word of these nine here")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = sorted(((r["doc_id"], (r["text"] or "").strip().lower()) for r in J.keep_first(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (None, c), (7, ""), (None, ""), (9, rows[-1][1])], key=repr)
+    near = spark.createDataFrame([(None, a), (3, a), (4, b)], SCHEMA)
+    assert sorted(r["doc_id"] for r in J.keep_first(near).collect()) == [3, 4]
