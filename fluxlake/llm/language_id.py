@@ -19,13 +19,14 @@ and kept by `keep`.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, mapped, slices
@@ -49,7 +50,9 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({s for _, s in SCRIPTS})
 _OF_START = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Characters that count as word characters but are neither letters nor decimal digits, such as fractions.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+words_of = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
 
 
 def scripts(words: list[str]) -> np.ndarray:
@@ -237,7 +240,7 @@ def predict_batch(m: Model, texts: list[str | None]) -> tuple[list[str], list[fl
         of = np.repeat(np.arange(n), np.diff(f))
         share = np.bincount(of * k + label, letters, minlength=n * k).reshape(n, k)
         total = share.sum(1)
-        evidence = np.stack([np.bincount(of, table[r, j], minlength=n) for j in range(k)], 1)
+        evidence = np.stack([np.bincount(of, table[r, j], minlength=n) for j in range(k)], 1).astype(float)
         top = share.argmax(1)
         mine = evidence[np.arange(n), top].copy()
         evidence[np.arange(n), top] = -np.inf
@@ -281,7 +284,9 @@ def fit(docs: DataFrame, usable=None) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     grams = mapped(rows.where(chance < share).select(F.col("lang").cast("string"), "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = grams.orderBy((F.substring("gram", 1, 1) != "=").cast("int"), F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow()
+    # Each language has its share of the model, so that none with few texts loses its n-grams to others.
+    by_count = Window.partitionBy("lang").orderBy((F.substring("gram", 1, 1) != "=").cast("int"), F.desc("n"), "gram")
+    got = grams.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= max(1, MOST_GRAMS // len(counts))).orderBy("lang", "place").toArrow()
     return learn(zip(*(got[c].to_pylist() for c in ("lang", "gram", "n")), strict=True))
 
 

@@ -5,7 +5,8 @@ transitions, dictionary coverage, whether they stand in a path, and the words
 around them. It is trained here, on labelled findings that `labelled` builds:
 secrets of many formats against checksums, ids, placeholders, paths and words.
 
-Defined cases: null or empty text has no findings; overlapping candidates count
+Defined cases: null or empty text has no findings; long texts and long values are read whole, a value
+in windows, and counts whole if any of them is judged a secret; overlapping candidates count
 as the first and longest; repeated rows are scanned row by row; an empty table
 gives no rows; further columns are not read by `findings` and kept by `redact`.
 """
@@ -43,13 +44,17 @@ FORMATS = [
 # A quoted string up to its closing quote, or a word; the value of a line name=value up to its end.
 ASSIGNED = re.compile(r"[:=]>?\s{0,3}(?:\"((?:\\.|[^\"\\\n]){6,})\"|'((?:\\.|[^'\\\n]){6,})'|[\"']?([^\s\"'<>,;:=()\[\]{}]{6,}={0,2}))")
 LINE = re.compile(r"^[ \t]*(?:export[ \t]+)?[A-Za-z_]\w*=([^\s\"']\S{5,})[ \t]*$", re.M)
-#: Characters of a value that needs no word before it.
-LONG = 16
+#: Characters of a value that needs no word before it; of a window on a longer value; of one on a word within it; such words.
+LONG, VIEW, NARROW = 16, 400, 64
+WITHIN = re.compile(r"[^\s\"'<>,;:=()\[\]{}]{12,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 KEYWORD = re.compile(r"token|secret|passw(?:or)?d|pwd|passphrase|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential|client[ _-]?id|signature", re.I)
 #: A name that ends in key or pass, before its value.
 NAME = re.compile(r"(?:key|pass)[\"']?\s{0,3}[:=]>?\s{0,3}[\"']?$", re.I)
-HARMLESS = re.compile(r"sha-?\d|sha\b|md5|commit|checksum|hash|uuid|guid|digest|etag|integrity|revision|build|version|example|sample|dummy|isbn|order|serial|fingerprint|tree|blob|parent", re.I)
+#: A value in prose: a word for a secret, "is" or the like, and a word with more than letters in it.
+SAID = re.compile(rf"(?:{KEYWORD.pattern})" + r"(?:\s+\w+)?\s+(?:is|was|are|reads)\s+[\"'`]?([^\s\"'`]{8,})", re.I)
+HARMLESS = re.compile(r"image|png|jpe?g|gif|svg|woff|sha-?\d|sha\b|md5|commit|checksum|hash|uuid|guid|digest|etag|integrity|revision|build|version|example|sample|dummy|isbn|order|serial|fingerprint|tree|blob|parent", re.I)
+DATA = re.compile(r"data:[\w.+-]+/[\w.+-]+[;,]")
 PLACEHOLDER = re.compile(r"your|example|xxx|change|placeholder|insert|todo|dummy|sample|test|redacted|\*\*\*|\.\.\.|\$\{|<|none|null|here|1234567|abcdef", re.I)
 WORDS = set(
     "the and for with that this from have not are was were you your all any can has more than when what which their there about into other some time only new also been over such first last long great little own old right big high different small large next early young important few public bad same able name value data file path home user users test main index page image script style source build config default public static local server client http https www com org net html json text word words line lines table list item items number numbers date time year month week day hour minute second key token password secret access login mail account service system version release update example sample hello world".split()
@@ -70,6 +75,11 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
             at = m.start() if pattern is ASSIGNED else a
             if KEYWORD.search(text, max(0, at - 30), at) or NAME.search(text, max(0, a - 15), a) or b - a >= LONG and not re.search(r"\s", text[a:b]):
                 found.append((a, b, "assigned"))
+    for m in SAID.finditer(text):
+        a, b = m.span(1)
+        b -= len(m[1]) - len(m[1].rstrip(".,;:!?)"))
+        if b - a >= 8 and len({_class(c) for c in text[a:b]}) > 1:
+            found.append((a, b, "assigned"))
     for m in RUN.finditer(text):
         # Plain words, however long, are no candidates; nor is a run of one character.
         s = m[0]
@@ -109,8 +119,22 @@ def coverage(value: str) -> float:
     return hit / letters if letters else 0.0
 
 
-def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    value = text[start : min(end, start + 400)]
+def views(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What is judged of a candidate: all of it, a long one also by overlapping windows and, as a secret may stand among words, by its own words."""
+    yield start, min(end, start + VIEW)
+    for a in range(start + VIEW // 2, end - VIEW // 2, VIEW // 2):
+        yield a, min(end, a + VIEW)
+    if end - start > NARROW:
+        for m in WITHIN.finditer(text, start, end):
+            for a in range(m.start(), max(m.start() + 1, m.end() - NARROW // 2), NARROW // 2):
+                b = min(m.end(), a + NARROW)
+                if len({_class(c) for c in text[a:b]}) > 2 and len(set(text[a:b])) > 9:
+                    yield a, b
+
+
+def features(text: str, start: int, end: int, kind: str, view: tuple[int, int] | None = None) -> list[float]:
+    """The features of a candidate; `view` is the part whose characters count, the words around are those around the whole."""
+    value = text[slice(*view)] if view else text[start : min(end, start + VIEW)]
     n = len(value)
     before, after = text[max(0, start - 40) : start], text[end : end + 25]
     kinds = [_class(c) for c in value]
@@ -123,7 +147,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     return [
         math.log(n), share[0], share[1], share[2], share[3], moves, -sum(p * math.log2(p) for p in counts), vowels, coverage(value),
         value.count("/") + ("://" in before) + bool(re.search(r"\.(?:[a-z]{2,4})$", value)) + before.endswith(("/", "\\", ".")),
-        bool(KEYWORD.search(near) or NAME.search(before)), bool(HARMLESS.search(near)), bool(PLACEHOLDER.search(value)),
+        bool(KEYWORD.search(near) or NAME.search(before)), bool(HARMLESS.search(near) or DATA.match(text, start)), bool(PLACEHOLDER.search(value)),
         bool(re.fullmatch(r"[0-9a-fA-F-]+", value)), value.count("-"), before.rstrip(" \"'").endswith(("=", ":")), after[:1] in "\"'" and after != "",
         KINDS.index(kind) < len(FORMATS), max(counts),
     ]
@@ -155,6 +179,7 @@ def labelled(seed: int = 11, each: int = 45) -> tuple[np.ndarray, np.ndarray]:
         lambda: ("postgres://", word() + ":" + pick(alnum, 14), "@db.host/x"), lambda: ("", "-----BEGIN RSA PRIVATE KEY-----" + pick(alnum + "+/", 200) + "-----END RSA PRIVATE KEY-----", ""),
         lambda: ("", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n" + pick(alnum + "+/", 300) + "\n-----END RSA PRIVATE KEY-----", ""),
         lambda: given(pick(hexes, one([32, 40, 64]))), lambda: ("", "SG." + pick(alnum + "_-", 22) + "." + pick(alnum + "_-", 43), ""), lambda: given(one(["sk_live_", "rk_live_", "sk-"]) + pick(alnum, some(24, 99))),
+        lambda: (one(["my password is ", "the api token is ", "the secret was ", "our passphrase is "]), one([pick(alnum, some(10, 30)), pick(hexes, 40), pick(alnum + "!@#%^&*", some(10, 20))]), ""),
         lambda: given(pick(alnum + "!@#%^&*,;:=()+-.", some(10, 30))), lambda: given(pick(alnum + "!@#%^&*,;:=()+-.", some(100, 500))), lambda: (word().upper() + "_" + word().upper() + "=", pick(alnum, some(24, 64)), ""),
     ]
     harmless = [
@@ -170,6 +195,9 @@ def labelled(seed: int = 11, each: int = 45) -> tuple[np.ndarray, np.ndarray]:
         lambda: (word() + one(["=", ": ", ' = "', "."]), one(["-", "_", "/"]).join(word() for _ in range(5)), ""), lambda: (word() + one([' = "', ': "']), " ".join(word() for _ in range(some(3, 12))), '"'),
         lambda: (one(["key", "password", "token", "secret"]) + one([' = "', ': "']), " ".join(word() for _ in range(some(4, 12))), '"'), lambda: (word() + "=", "".join(word().title() for _ in range(4)), ""),
         lambda: (word() + "=", f"{word()}.{word()}({word()},{word()})", ""), lambda: (word() + one(["=", ": "]), "https://" + "/".join(word() for _ in range(4)), ""),
+        *[lambda: (one(['src="', "src='", "url(", "href=", 'image = "']), one(["data:image/png;base64,", "data:font/woff;base64,", "data:image/svg+xml;base64,"]) + pick(alnum + "+/", some(20, 400)), '"')] * 3,
+        lambda: ('src="data:image/png;base64,', pick(alnum + "+/", some(40, 400)), '"'), lambda: (one(["url(data:font/woff;base64,", "data:image/svg+xml;base64,"]), base64.b64encode(rng.bytes(some(40, 300))).decode(), ")"),
+        lambda: (one(["the password is ", "the token was ", "the secret is "]), one([word() + "-" + word(), word() + "/" + word(), word().title() + "." + word(), "'" + word() + "'" + word()]), ""),
         lambda: (one(["isbn ", "serial "]), pick("0123456789-", 22), ""), lambda: ("version ", "v1.2.3-" + pick(hexes, 24), ""),
     ]
     x, y = [], []
@@ -180,8 +208,10 @@ def labelled(seed: int = 11, each: int = 45) -> tuple[np.ndarray, np.ndarray]:
                 text = f"{prose()} {a}{value}{b} {prose()}"
                 at = text.index(a + value) + len(a)
                 kind = next((k for k, p in FORMATS if re.search(p, text) and label), "assigned" if a.rstrip("\"' ").endswith(("=", ":")) else "run")
-                x.append(features(text, at, at + len(value), kind))
-                y.append(label)
+                seen = list(views(text, at, at + len(value)))
+                for view in [seen[0], *([one(seen[1:])] if len(seen) > 1 else [])]:
+                    x.append(features(text, at, at + len(value), kind, view))
+                    y.append(label)
     return np.array(x, float), np.array(y)
 
 
@@ -190,13 +220,18 @@ def model() -> Forest:
     return Forest(*labelled())
 
 
-def scan(text: str | None) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, score) of the findings kept."""
+def scan(text: str | None, forest: Forest | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score) of the findings kept: candidates of which any view is judged a secret."""
     found = proposals(text or "")
     if not found:
         return []
     # Each proposal is judged by itself: a secret within a harmless string stays one.
-    score = model().predict(np.array([features(text, *f) for f in found], float))
+    seen = [(i, v) for i, (a, b, _) in enumerate(found) for v in views(text, a, b)]
+    score = np.zeros(len(found))
+    for at in range(0, len(seen), 4096):
+        part = seen[at : at + 4096]
+        got = (forest or model()).predict(np.array([features(text, *found[i], v) for i, v in part], float))
+        np.maximum.at(score, [i for i, _ in part], got)
     return apart([(*f, float(s)) for f, s in zip(found, score, strict=True) if s >= THRESHOLD])
 
 
@@ -204,12 +239,14 @@ def findings(docs: DataFrame) -> DataFrame:
     """One row for each secret: doc_id, start and length in code points, kind, score and the SHA-256 of the secret."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("score", pa.float64()), ("secret_sha256", pa.string())])
 
+    forest = docs.sparkSession.sparkContext.broadcast(model())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 text = t.as_py()
-                rows += [(i.as_py(), a, b - a, kind, s, hashlib.sha256(text[a:b].encode()).hexdigest()) for a, b, kind, s in scan(text)]
+                rows += [(i.as_py(), a, b - a, kind, s, hashlib.sha256(text[a:b].encode()).hexdigest()) for a, b, kind, s in scan(text, forest.value)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -220,13 +257,14 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every secret in `text` replaced, and `n_chars`, if there, counted anew where that changed it."""
     names = docs.columns
     at = names.index("text")
+    forest = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             changed = {}
             for i, t in enumerate(batch.column(at)):
                 text = t.as_py()
-                if spans := scan(text):
+                if spans := scan(text, forest.value):
                     parts, last = [], 0
                     for a, b, _, _ in spans:
                         parts += [text[last:a], REPLACEMENT]

@@ -60,3 +60,9 @@ def test_without_training_rows(empty, edge):
     assert L.predict(empty, m).count() == 0
     assert {r["lang_pred"] for r in L.predict(edge, m).collect()} == {"und"}
     assert L.label_spans(edge, m).count() == edge.count()
+
+
+def test_numerals_are_no_letters():
+    assert L.words_of("½ ² ① ab½c 12 x_y é") == ["ab", "c", "x", "y", "é"]
+    m = L.train([("de", "das ist ein kleiner satz"), ("en", "this is a small sentence")])
+    assert L.predict_batch(m, ["½ ②", "③", None]) == (["und"] * 3, [0.0] * 3)
