@@ -65,13 +65,6 @@ def gen_hash(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", F.md5("c_name").alias("m"), F.sha2("c_name", 256).alias("s"))
 
 
-@query("gen_linspace", "SELECT i, CAST(floor((2 + i * (7 - 2) / 9.0::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS lin, CAST(floor(pow(32, i / 9.0::DOUBLE) + 0.5) AS BIGINT) AS geo FROM range(0, 10) AS r(i)")
-def gen_linspace(spark, sf_dir):
-    """Evenly and geometrically spaced grids as generators."""
-    i = F.col("id")
-    return spark.range(10).select(i.alias("i"), q(2 + i * 5 / 9.0).alias("lin"), q(F.pow(F.lit(32.0), i / 9.0), 1).alias("geo"))
-
-
 @query("gen_udf", "SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * 2 + 1 + 0.5) AS BIGINT) AS y FROM lineitem")
 def gen_udf(spark, sf_dir):
     """A vectorised function on Arrow batches."""
@@ -108,44 +101,9 @@ def storage_estimate(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", (n * 64**3 * 4 * 4 + 10 * 64 * 64 * 33 * 3 * 16).alias("bytes"))
 
 
-@query("lr_cosine", "SELECT i AS epoch, CAST(floor((1e-5::DOUBLE + (1e-3::DOUBLE - 1e-5::DOUBLE) * 0.5 * (1 + cos(pi() * i / 25))) * 1e12 + 0.5) AS BIGINT) AS lr_q FROM range(0, 26) AS r(i)")
-def lr_cosine(spark, sf_dir):
-    lr = 1e-5 + (1e-3 - 1e-5) * 0.5 * (1 + F.cos(F.pi() * F.col("id") / 25))
-    return spark.range(26).select(F.col("id").alias("epoch"), q(lr, 1e12).alias("lr_q"))
-
-
-@query("beta_schedule", "SELECT i AS step, CAST(floor((0.02::DOUBLE * (1 - i / 20.0) + 0.0001::DOUBLE) * 1e9 + 0.5) AS BIGINT) AS beta_q, CAST(floor((SELECT exp(sum(ln(1 - (0.02::DOUBLE * (1 - j / 20.0) + 0.0001::DOUBLE)))) FROM range(0, 20) AS q(j) WHERE j <= i) * 1e9 + 0.5) AS BIGINT) AS alpha_bar_q FROM range(0, 20) AS r(i)")
-def beta_schedule(spark, sf_dir):
-    """Noise schedule and its cumulated product, folded in order."""
-    beta = lambda i: 0.02 * (1 - i / 20.0) + 0.0001
-    bar = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("id")), F.lit(1.0), lambda a, j: a * (1 - beta(j)))
-    return spark.range(20).select(F.col("id").alias("step"), q(beta(F.col("id")), 1e9).alias("beta_q"), q(bar, 1e9).alias("alpha_bar_q"))
-
-
-@query("cosine_schedule", "SELECT i AS step, CAST(floor(pow(cos((i / 50.0 + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008::DOUBLE * pi() / 2), 2) * 1e9 + 0.5) AS BIGINT) AS alpha_bar_q FROM range(0, 50) AS r(i)")
-def cosine_schedule(spark, sf_dir):
-    f = lambda x: F.pow(F.cos((x + 0.008) / 1.008 * F.pi() / 2), F.lit(2))
-    return spark.range(50).select(F.col("id").alias("step"), q(f(F.col("id") / 50.0) / f(F.lit(0.0)), 1e9).alias("alpha_bar_q"))
-
-
 @query("fm_interp", "SELECT vec_id, i AS step, CAST(floor(((1 - i / 4.0) * embedding[1]::DOUBLE + i / 4.0 * embedding[2]::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS x_q FROM embeddings, range(0, 5) AS r(i)")
 def fm_interp(spark, sf_dir):
     """x_t = (1 - t) z + t y at the Euler steps."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("z"), F.col("embedding")[1].cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<long>")).alias("step"))
     tt = F.col("step") / 4.0
     return e.select("vec_id", "step", q((1 - tt) * F.col("z") + tt * F.col("y")).alias("x_q"))
-
-
-@query("noise_weights", "SELECT kind, k, CAST(floor(CASE kind WHEN 'white' THEN 1 WHEN 'kolmogorov' THEN pow(k, -11.0 / 6) WHEN 'powerlaw' THEN pow(k, -(3.0 + 2) / 2) ELSE pow(k, 0.5) END * 1e9 + 0.5) AS BIGINT) AS w_q FROM range(1, 33) AS r(k), (VALUES ('white'), ('kolmogorov'), ('powerlaw'), ('blue')) AS v(kind)")
-def noise_weights(spark, sf_dir):
-    """Spectral noise weights by wavenumber; the mean mode has none."""
-    k = F.col("k").cast("double")
-    kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), w.alias("w")) for n, w in (("white", F.lit(1.0)), ("kolmogorov", F.pow(k, F.lit(-11.0 / 6))), ("powerlaw", F.pow(k, F.lit(-2.5))), ("blue", F.pow(k, F.lit(0.5)))))))
-    return spark.range(1, 33).select(F.col("id").alias("k")).select("k", kinds.alias("s")).select("s.kind", "k", q("s.w", 1e9).alias("w_q"))
-
-
-@query("nfe_count", "SELECT k, n, 1 + k * n AS nfe, CAST(floor(pow(i / n::DOUBLE, 2) * 1e6 + 0.5) AS BIGINT) AS blend_q, i FROM (VALUES (3, 4), (1, 8)) AS t(k, n), range(0, 9) AS r(i) WHERE i <= n")
-def nfe_count(spark, sf_dir):
-    """Network evaluations of a sampler and the blend weights of its constraint, tau squared."""
-    s = spark.createDataFrame([(3, 4), (1, 8)], "k int, n int").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")).cast("array<long>")))
-    return s.select("k", "n", (1 + F.col("k") * F.col("n")).alias("nfe"), q(F.pow(F.col("i") / F.col("n"), F.lit(2))).alias("blend_q"), "i")

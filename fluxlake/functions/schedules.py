@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import q
 from ..registry import query
 
 
-def sigma_power(k: Column, steps: int, least: float) -> Column:
-    """Noise levels falling geometrically from 1 to `least`."""
-    return F.pow(F.lit(least), k / steps)
-
-
-@query("sched_refiner", "SELECT k, CAST(floor((1 - pow(1e-4, k / 8.0)) * 1e9 + 0.5) AS BIGINT) AS alpha_q, CAST(floor(exp((SELECT sum(ln(1 - pow(1e-4, j / 8.0))) FROM range(1, 9) AS q(j) WHERE j <= k)) * 1e9 + 0.5) AS BIGINT) AS bar_q FROM range(1, 9) AS r(k)")
-def sched_refiner(spark, sf_dir):
-    """Refinement levels beta_k = s^(k/K) and the cumulated product of 1 - beta, folded in order."""
-    k = F.col("id")
-    bar = F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.lit(1.0), lambda a, j: a * (1 - sigma_power(j, 8, 1e-4)))
-    return spark.range(1, 9).select(k.alias("k"), q(1 - sigma_power(k, 8, 1e-4), 1e9).alias("alpha_q"), q(bar, 1e9).alias("bar_q"))
-
-
-@query("sched_hybrid_linear", "SELECT n, k, CAST(floor(CASE WHEN n = 1 THEN 0.01 ELSE 0.01 + (0.001 - 0.01) * k / (n - 1)::DOUBLE END * 1e9 + 0.5) AS BIGINT) AS sigma_q FROM (VALUES (1), (4)) AS t(n), range(0, 4) AS r(k) WHERE k < n")
-def sched_hybrid_linear(spark, sf_dir):
-    """Levels between two ends; a single level is the first end."""
-    d = spark.createDataFrame([(1,), (4,)], "n int").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1).cast("array<long>")))
-    s = F.when(F.col("n") == 1, 0.01).otherwise(0.01 + (0.001 - 0.01) * F.col("k") / F.nullif(F.col("n") - 1, F.lit(0)))
-    return d.select("n", "k", q(s, 1e9).alias("sigma_q"))
-
-
-@query("sched_hybrid_log", "SELECT k, CAST(floor(pow(10, -2 - k / 5.0) * 1e9 + 0.5) AS BIGINT) AS sigma_q FROM range(0, 6) AS r(k)")
-def sched_hybrid_log(spark, sf_dir):
-    return spark.range(6).select(F.col("id").alias("k"), q(F.pow(F.lit(10.0), -2 - F.col("id") / 5.0), 1e9).alias("sigma_q"))
-
-
 @query("loss_smooth_l1", "SELECT l_suppkey, CAST(floor(avg(CASE WHEN abs(d) < 1 THEN 0.5 * d * d ELSE abs(d) - 0.5 END) * 1e6 + 0.5) AS BIGINT) AS loss_q FROM (SELECT l_suppkey, (l_quantity - 25) / 10 AS d FROM lineitem) GROUP BY l_suppkey")
 def loss_smooth_l1(spark, sf_dir):
     d = F.col("d")
@@ -73,17 +46,31 @@ def pool_slices(spark, sf_dir):
     return d.groupBy("label").agg(q(F.sum(F.col("w") * F.col("v")) / (F.sum("w") + 1e-5)).alias("token_q"))
 
 
-@query("capacity_table", "SELECT m, s, CASE s WHEN 'base' THEN w WHEN 'lite' THEN w // 2 ELSE w * 2 END AS width FROM (VALUES ('fno', 32::BIGINT), ('ufno', 24), ('deeponet', 128)) AS t(m, w), (VALUES ('base'), ('lite'), ('large')) AS u(s)")
-def capacity_table(spark, sf_dir):
-    """Widths of the models at each size: a dimension table."""
-    m = spark.createDataFrame([("fno", 32), ("ufno", 24), ("deeponet", 128)], "m string, w long")
-    sizes = F.explode(F.array(*map(F.lit, ("base", "lite", "large"))))
-    width = F.when(F.col("s") == "base", F.col("w")).when(F.col("s") == "lite", F.floor(F.col("w") / 2)).otherwise(F.col("w") * 2)
-    return m.select("m", "w", sizes.alias("s")).select("m", "s", width.cast("long").alias("width"))
-
-
 @query("slice_batches", "SELECT vec_id // 4 AS frame, CAST((pos - 1) // 16 AS INTEGER) AS z, CAST(floor(sum(embedding[pos]::DOUBLE) * 1e4 + 0.5) AS BIGINT) AS s FROM embeddings, unnest(range(1, 65)) AS u(pos) WHERE vec_id % 4 = 0 GROUP BY ALL")
 def slice_batches(spark, sf_dir):
     """A field regrouped into its z-slices, the batches of a two-dimensional model."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).cast("long").alias("frame"), F.posexplode("embedding").alias("pos", "v"))
     return e.groupBy("frame", F.floor(F.col("pos") / 16).cast("int").alias("z")).agg(q(F.sum(F.col("v").cast("double")), 1e4).alias("s"))
+
+
+_STEP = "event_id % 20"
+
+
+@query("schedule_columns", f"""WITH b AS (SELECT CAST(j AS BIGINT) AS step, 0.02::DOUBLE * (1 - j / 20.0::DOUBLE) + 0.0001::DOUBLE AS beta FROM range(0, 20) AS r(j)),
+  s AS (SELECT event_id, {_STEP} AS step FROM events)
+SELECT event_id, CAST(floor((1e-5::DOUBLE + (1e-3::DOUBLE - 1e-5::DOUBLE) * 0.5 * (1 + cos(pi() * s.step / 25))) * 1e12 + 0.37) AS BIGINT) AS lr_q,
+  CAST(floor(beta * 1e9 + 0.37) AS BIGINT) AS beta_q, CAST(floor((SELECT product(1 - c.beta) FROM b AS c WHERE c.step <= s.step) * 1e9 + 0.37) AS BIGINT) AS alpha_bar_q,
+  CAST(floor(pow(cos((s.step / 20.0::DOUBLE + 0.008) / 1.008 * pi() / 2), 2) / pow(cos(0.008 / 1.008::DOUBLE * pi() / 2), 2) * 1e9 + 0.37) AS BIGINT) AS cosine_q,
+  CAST(floor((0.01::DOUBLE + (0.001::DOUBLE - 0.01::DOUBLE) * s.step / 19) * 1e9 + 0.37) AS BIGINT) AS linear_q, CAST(floor(pow(10, -2 - s.step / 5.0::DOUBLE) * 1e9 + 0.37) AS BIGINT) AS log_q,
+  CAST(floor((1 - pow(1e-4, (s.step + 1) / 20.0::DOUBLE)) * 1e9 + 0.37) AS BIGINT) AS refine_q FROM s JOIN b USING (step)""")
+def schedule_columns(spark, sf_dir):
+    """The schedules of every training step: cosine learning rate, noise levels with their cumulated product, cosine, linear and logarithmic levels, refinement levels."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 20).alias("step"))
+    i = F.col("step")
+    beta = lambda j: 0.02 * (1 - j / 20.0) + 0.0001
+    f = lambda x: F.pow(F.cos((x + 0.008) / 1.008 * F.pi() / 2), F.lit(2))
+    columns = {
+        "lr_q": (1e-5 + (1e-3 - 1e-5) * 0.5 * (1 + F.cos(F.pi() * i / 25)), 1e12), "beta_q": (beta(i), 1e9), "alpha_bar_q": (F.aggregate(F.sequence(F.lit(0).cast("long"), i), F.lit(1.0), lambda a, j: a * (1 - beta(j))), 1e9),
+        "cosine_q": (f(i / 20.0) / f(F.lit(0.0)), 1e9), "linear_q": (0.01 + (0.001 - 0.01) * i / 19, 1e9), "log_q": (F.pow(F.lit(10.0), -2 - i / 5.0), 1e9), "refine_q": (1 - F.pow(F.lit(1e-4), (i + 1) / 20.0), 1e9),
+    }
+    return e.select("event_id", *(F.floor(c * scale + 0.37).cast("long").alias(name) for name, (c, scale) in columns.items()))

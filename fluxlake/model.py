@@ -5,19 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The cases in canonical order, their group, rotation rate and whether a buoyancy channel exists.
-CASES = [
-    ("ou_relam70_256_fp64", "forced", 0.0, False), ("ou_robust_kf3_256_fp64", "forced", 0.0, False), ("ou_robust_kf4_256_fp64", "forced", 0.0, False),
-    ("decay_hotstart_re86", "decay", 0.0, False), ("rotating_ro0p2_256_fp64", "extended", 2.5, False), ("rotating_ro0p2_v2_256_fp64", "extended", 0.81, False),
-    ("stratified_fr0p3_256_fp64", "extended", 0.0, True),
-]
-
-
-def case_dim(spark: SparkSession) -> DataFrame:
-    """case, ord, grp, omega_z, buoyant."""
-    return spark.createDataFrame([(c, i, g, o, b) for i, (c, g, o, b) in enumerate(CASES)], "case string, ord int, grp string, omega_z double, buoyant boolean")
-
-
 def mode_dim(spark: SparkSession, n: int, half: bool = True) -> DataFrame:
     """Integer wavenumbers of an n-point periodic box: kx (the half axis), ky, kz, k2, shell and the Parseval weight."""
     axis = lambda name, stop: spark.range(stop).select(F.when(F.col("id") > n // 2 - (1 if n % 2 == 0 and name != "kx" else 0), F.col("id") - n).otherwise(F.col("id")).cast("int").alias(name))

@@ -14,32 +14,6 @@ from ..model import q
 from ..registry import query
 
 
-def grid(spark, n: int) -> DataFrame:
-    """Points of an n^3 periodic box and their coordinates."""
-    i = lambda d: (F.floor(F.col("id") / d) % n).cast("int")
-    p = spark.range(n**3).select(i(n * n).alias("z"), i(n).alias("y"), i(1).alias("x"))
-    return p.withColumns({f"c{a}": F.col(a) * (2 * np.pi / n) for a in "xyz"})
-
-
-_GRID = "g AS (SELECT CAST(i // 64 AS INTEGER) AS z, CAST(i // 8 % 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, (i % 8) * (2 * pi() / 8) AS cx, (i // 8 % 8) * (2 * pi() / 8) AS cy, (i // 64) * (2 * pi() / 8) AS cz FROM range(0, 512) AS r(i))"
-
-
-@query("tg_energy_grid", f"WITH {_GRID} SELECT CAST(floor(avg(pow(sin(cx) * cos(cy) * cos(cz), 2) + pow(cos(cx) * sin(cy) * cos(cz), 2)) / 2 * 1e9 + 0.5) AS BIGINT) AS k_q, count(*) AS n FROM g")
-def tg_energy_grid(spark, sf_dir):
-    """Kinetic energy of the Taylor-Green vortex: 1/8."""
-    u, v = F.sin("cx") * F.cos("cy") * F.cos("cz"), -F.cos("cx") * F.sin("cy") * F.cos("cz")
-    return grid(spark, 8).agg(q(F.avg(u * u + v * v) / 2, 1e9).alias("k_q"), F.count("*").alias("n"))
-
-
-@query("abc_beltrami", f"WITH {_GRID} SELECT z, y, x, CAST(floor((sin(cz) + cos(cy)) * 1e6 + 0.5) AS BIGINT) AS u_q, CAST(floor((sin(cz) + cos(cy)) * 1e6 + 0.5) AS BIGINT) AS omega_q FROM g")
-def abc_beltrami(spark, sf_dir):
-    """An ABC flow's first component and that of its curl, dw/dy - dv/dz: equal."""
-    u = F.sin("cz") + F.cos("cy")
-    # v = sin x + cos z, w = sin y + cos x.
-    omega = F.cos("cy") + F.sin("cz")
-    return grid(spark, 8).select("z", "y", "x", q(u).alias("u_q"), q(omega).alias("omega_q"))
-
-
 @dataclass(frozen=True)
 class Box:
     """Wavenumbers of an n^3 box; arrays run over (z, y, x), the half axis is x."""
@@ -227,36 +201,6 @@ def residuals(box: Box, h, dt: float, nu: float, forces: tuple[Callable, ...] =
     return {"d1": float(np.abs((box.k * mid).sum(0)).max() / box.n**3), "d2": norm((after - h) / (2 * dt) - right) / max(norm(right), 1e-30), "d4": poisson, "d4_gradient": gradient}
 
 
-@query("dyn_residuals")
-def dyn_residuals(spark, sf_dir):
-    """D1, D2 at h and h/2 (so D3, their ratio) and D4 of seeded runs, one task a run."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for seed in b["seed"]:
-                box = Box(16)
-                h = box.forward(random_solenoidal(16, int(seed), peak=2.0)) * box.keep
-                full, half = residuals(box, h, 0.01, 0.05), residuals(box, rk3(box, h, 0.005, 0.05), 0.005, 0.05)
-                rows.append((int(seed), full["d1"], full["d2"], full["d2"] / half["d2"], full["d4"], full["d4_gradient"]))
-            yield pd.DataFrame(rows, columns=["seed", "d1", "d2", "d3", "d4", "d4_gradient"])
-
-    return spark.range(4).withColumnRenamed("id", "seed").repartition(4).mapInPandas(run, "seed long, d1 double, d2 double, d3 double, d4 double, d4_gradient double")
-
-
-@query("dyn_trajectories")
-def dyn_trajectories(spark, sf_dir):
-    c = spark.createDataFrame([(s, 16, 0.05, 0.01, 20, k, o) for s, k, o in ((0, "taylor_green", 0.0), (1, "abc", 0.0), (2, "random", 0.0), (3, "random", 2.5))], "seed long, n int, nu double, dt double, steps int, start string, omega double")
-    return trajectories(c.repartition(4, "seed"))
-
-
-@query("dyn_abc_decay", "SELECT i AS step, CAST(floor(1.5 * exp(-2 * 0.05::DOUBLE * i * 0.01::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS k_q FROM range(0, 21) AS r(i)")
-def dyn_abc_decay(spark, sf_dir):
-    """An ABC flow decays exactly, as exp(-2 nu t): the solver against the closed form."""
-    c = spark.createDataFrame([(1, 16, 0.05, 0.01, 20, "abc", 0.0)], "seed long, n int, nu double, dt double, steps int, start string, omega double")
-    return trajectories(c).select("step", q("K").alias("k_q"))
-
-
 def spectral_conv(x, weights, modes: int):
     """A Fourier layer: the low modes of the four corner blocks are mixed over channels. x: (channels, z, y, x); weights: (4, out, in, modes, modes, modes)."""
     n = x.shape[-1]

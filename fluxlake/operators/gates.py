@@ -13,9 +13,6 @@ from ..registry import query
 from .timeseries import KMAX, NU, k_max_eta
 
 #: Acceptance bands, item -> (low, high); either may be open.
-A_BANDS = {"A2": (99.5, None), "A5": (4.0, None), "A6": (None, 0.5), "A7": (None, 1.0), "A8": (None, 2.0), "A9": (5.0, None), "A10c": (None, 5.0), "A10x": (None, 2.0), "A11": (0.95, 1.05), "A12": (None, 1e-6), "A13": (0.45, 0.60)}
-
-
 def resolution_class(eta: Column) -> Column:
     return F.when(eta >= 1.5, "I").when(eta >= 1.0, "II").otherwise("FAIL")
 
@@ -32,39 +29,6 @@ def appendix(measured: DataFrame, keys: list[str], bands: dict[str, tuple[float
     return measured.select(*keys, F.inline(F.array(*items)))
 
 
-def _measured(spark, sf_dir) -> DataFrame:
-    """Every A item of each seed of the time series, by stand-ins of the same shape."""
-    r = run_ts(spark, sf_dir)
-    w = Window.partitionBy("seed").orderBy("ord")
-    d = r.withColumn("dt", F.col("t") - F.lag("t").over(w))
-    return d.groupBy("seed").agg(
-        (100 - F.min("c") / 1000.0).alias("A2"), (F.count("*") / 200.0).alias("A5"), (F.max("c") / 98000.0).alias("A6"), (100 * F.abs(F.regr_slope("K", "t")) * 1.665 / F.avg("K")).alias("A7"),
-        (100 * F.abs(F.regr_slope("K", "t")) / F.greatest(F.avg("eps"), F.lit(1e-30))).alias("A8"), (F.max("t") - F.min("t")).alias("A9"), (F.col("seed") * 1.0).alias("A10c"), (F.when(F.col("seed") != 7, F.col("seed") / 4.0)).alias("A10x"),
-        (F.sum(F.when(F.col("ord") % 2 == 0, F.col("c"))) / F.sum(F.when(F.col("ord") % 2 == 1, F.col("c")))).alias("A11"), F.lit(1e-8).alias("A12"), (F.avg("c") / 50000.0).alias("A13"),
-    )
-
-
-_A = """d AS (SELECT *, t - lag(t) OVER (PARTITION BY seed ORDER BY ord) AS dt FROM run_ts),
-a AS (SELECT seed, 100 - min(c) / 1000.0::DOUBLE AS A2, count(*) / 200.0::DOUBLE AS A5, max(c) / 98000.0::DOUBLE AS A6, 100 * abs(regr_slope(K, t)) * 1.665 / avg(K) AS A7, 100 * abs(regr_slope(K, t)) / greatest(avg(eps), 1e-30) AS A8, max(t) - min(t) AS A9,
-  seed * 1.0::DOUBLE AS A10c, CASE WHEN seed <> 7 THEN seed / 4.0::DOUBLE END AS A10x, sum(c) FILTER (ord % 2 = 0)::DOUBLE / sum(c) FILTER (ord % 2 = 1)::DOUBLE AS A11, 1e-8::DOUBLE AS A12, avg(c) / 50000.0::DOUBLE AS A13 FROM d GROUP BY seed),
-v AS (""" + " UNION ALL ".join(
-    f"SELECT seed, '{i}' AS item, CASE WHEN {i} IS NULL THEN 'MISSING' WHEN {' AND '.join(([f'{i} >= {lo}'] if lo is not None else []) + ([f'{i} <= {hi}'] if hi is not None else []))} THEN 'pass' ELSE '**FAIL**' END AS verdict FROM a" for i, (lo, hi) in A_BANDS.items()
-) + ")"
-
-
-@query("gate_a_table", with_(RUN_TS, _A, rest="SELECT seed, item, verdict FROM v"))
-def gate_a_table(spark, sf_dir):
-    return appendix(_measured(spark, sf_dir), ["seed"], A_BANDS).select("seed", "item", "verdict")
-
-
-@query("gate_a_overall", with_(RUN_TS, _A, rest="SELECT seed, bool_and(verdict = 'pass') AS accepted, string_agg(item, ',' ORDER BY item) FILTER (verdict <> 'pass') AS why FROM v GROUP BY seed"))
-def gate_a_overall(spark, sf_dir):
-    """Overall verdict: the conjunction, with the items that stand against it."""
-    t = appendix(_measured(spark, sf_dir), ["seed"], A_BANDS)
-    why = F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") != "pass", F.col("item")))), ",")
-    return t.groupBy("seed").agg(F.bool_and(F.col("verdict") == "pass").alias("accepted"), F.nullif(why, F.lit("")).alias("why"))
-
-
 @query("gate_a1_class", with_(RUN_TS, rest=f"SELECT seed, CASE WHEN e >= 1.5 THEN 'I' WHEN e >= 1.0 THEN 'II' ELSE 'FAIL' END AS cls FROM (SELECT seed, avg({KMAX} * pow(CAST({NU**3!r} AS DOUBLE) / (eps / 1000), 0.25)) AS e FROM run_ts GROUP BY seed)"))
 def gate_a1_class(spark, sf_dir):
     e = run_ts(spark, sf_dir).groupBy("seed").agg(F.avg(k_max_eta(F.col("eps") / 1000)).alias("e"))
@@ -120,20 +84,6 @@ def gate_dissipation_ratio(spark, sf_dir):
     return g.select("frame", q((F.col("l") + F.col("t")) / (5 * F.col("l"))).alias("ratio_q"))
 
 
-@query("gate_trajectory", with_(PER_SEED, rest="""SELECT "case", seed, frames >= 10 AND seed < 15 AND k_max_eta IS NOT NULL AS accepted, CASE WHEN drift > 5 THEN 'REPORT' ELSE 'report' END AS drift FROM per_seed"""))
-def gate_trajectory(spark, sf_dir):
-    """Hard gates of a trajectory; drift is recorded beside them and never gates."""
-    ok = (F.col("frames") >= 10) & (F.col("seed") < 15) & F.col("k_max_eta").isNotNull()
-    return per_seed(spark, sf_dir).select("case", "seed", ok.alias("accepted"), F.when(F.col("drift") > 5, "REPORT").otherwise("report").alias("drift"))
-
-
-@query("gate_half_step", "SELECT l_suppkey, bool_and(r BETWEEN 2.5 AND 6) AS d3, count(*) AS n FROM (SELECT l_suppkey, l_quantity / (1 + l_linenumber * 2) AS r FROM lineitem) GROUP BY l_suppkey")
-def gate_half_step(spark, sf_dir):
-    """Every ratio of the residual at h to that at h/2 lies in the band of its order."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", (F.col("l_quantity") / (1 + F.col("l_linenumber") * 2)).alias("r"))
-    return li.groupBy("l_suppkey").agg(F.bool_and(F.col("r").between(2.5, 6)).alias("d3"), F.count("*").alias("n"))
-
-
 @query("gate_stratified", """SELECT s_suppkey, re_b > 20 AND eta < lo AND lo < 1 AS s_ok, CASE WHEN sc >= 1 THEN 'batchelor' ELSE 'obukhov-corrsin' END AS scale FROM (SELECT s_suppkey, abs(s_acctbal) / 50 AS re_b, 0.001::DOUBLE * (1 + s_suppkey % 9) AS eta, abs(s_acctbal) / 20000 AS lo, (s_suppkey % 5) / 2.0::DOUBLE AS sc FROM supplier)""")
 def gate_stratified(spark, sf_dir):
     """Buoyancy Reynolds number over 20 and eta < Ozmidov < outer scale; the scalar's own small scale by its Schmidt number."""
@@ -203,7 +153,7 @@ def case_constants(spark, sf_dir):
     return n.join(F.broadcast(dim), "case", "left").select("case", q(F.coalesce("omega_z", F.lit(0.0)), 1000).alias("omega_q"), F.coalesce("buoyant", F.lit(False)).alias("buoyant"), "n")
 
 
-@query("task_rollout_pairs", with_(FIELD4, rest="SELECT a.frame, a.z, a.y, a.x, a.q AS input, b.q AS output FROM field4 a JOIN field4 b ON b.frame = a.frame + 1 AND b.ch = 0 AND b.z = a.z AND b.y = a.y AND b.x = a.x WHERE a.ch = 0"))
+@query("task_rollout_pairs", with_(FIELD4, "one AS MATERIALIZED (SELECT frame, frame - 1 AS before, (z * 4 + y) * 4 + x AS at, z, y, x, q FROM field4 WHERE ch = 0)", rest="SELECT a.frame, a.z, a.y, a.x, a.q AS input, b.q AS output FROM one a JOIN one b ON b.before = a.frame AND b.at = a.at"))
 def task_rollout_pairs(spark, sf_dir):
     f = field4(spark, sf_dir).where("ch = 0").drop("ch")
     nxt = f.select((F.col("frame") - 1).alias("frame"), "z", "y", "x", F.col("q").alias("output"))

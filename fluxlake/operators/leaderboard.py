@@ -177,13 +177,6 @@ def gate_presence(spark, sf_dir):
     return g.groupBy("case", "seed").agg(F.count_distinct("item").alias("n")).where("n < 4").select("case", "seed")
 
 
-@query("gate_d_group", with_(PER_SEED, rest="""SELECT "case", max(drift) <= 9.9 AS d1, max(k_max_eta) <= 0.02 AS d2, min(frames) >= 1 AND max(frames) <= 400 AS d3, count(k_max_eta) > 0 AND max(k_max_eta) <= 0.1 AS d4 FROM per_seed GROUP BY "case" """))
-def gate_d_group(spark, sf_dir):
-    return per_seed(spark, sf_dir).groupBy("case").agg(
-        (F.max("drift") <= 9.9).alias("d1"), (F.max("k_max_eta") <= 0.02).alias("d2"), ((F.min("frames") >= 1) & (F.max("frames") <= 400)).alias("d3"), ((F.count("k_max_eta") > 0) & (F.max("k_max_eta") <= 0.1)).alias("d4")
-    )
-
-
 @query("pool_seed_stats", with_(PER_SEED, rest='SELECT "case", CAST(floor(avg(drift) * 1e6 + 0.5) AS BIGINT) AS mean_q, CAST(floor(stddev_pop(drift) * 1e6 + 0.5) AS BIGINT) AS pstd_q, CAST(floor(CASE WHEN count(*) > 1 THEN stddev_samp(drift) ELSE 0 END * 1e6 + 0.5) AS BIGINT) AS std_q FROM per_seed GROUP BY "case"'))
 def pool_seed_stats(spark, sf_dir):
     """Seed pool: population and sample deviations."""

@@ -53,15 +53,6 @@ def m_nan_filtered_mean(spark, sf_dir):
     return li.select("l_linenumber", e.alias("e")).groupBy("l_linenumber").agg(q(F.nanvl(mean, F.lit(-1.0))).alias("mean_q"))
 
 
-@query("m_decay_safe", with_(FIELD4, _PT, "k AS (SELECT frame, CAST(sum(CAST(truth AS HUGEINT) * truth) AS DOUBLE) AS ke, " + _N + " AS e FROM pt WHERE ch < 3 GROUP BY frame)", "k0 AS (SELECT arg_min(ke, frame) AS ke0 FROM k)",
-       rest="SELECT frame, CASE WHEN ke < 1.05 * ke0 THEN NULL ELSE CAST(floor(e * 1e6 + 0.5) AS BIGINT) END AS e_q FROM k, k0"))
-def m_decay_safe(spark, sf_dir):
-    """The error, null for frames whose energy has fallen under a share of the first frame's."""
-    k = persistence(field4(spark, sf_dir).where("ch < 3")).groupBy("frame").agg(F.sum(_D("truth") * _D("truth")).cast("double").alias("ke"), nrmse().alias("e"))
-    k0 = k.agg(F.min_by("ke", "frame").alias("ke0"))
-    return k.crossJoin(F.broadcast(k0)).select("frame", F.when(F.col("ke") < 1.05 * F.col("ke0"), None).otherwise(q("e")).alias("e_q"))
-
-
 @query("m_frmse_bands", with_(FIELD4.replace("field4 AS", "f0 AS"), "field4 AS (SELECT t.frame, t.ch, t.z, t.y, t.x, p.q - t.q AS q FROM f0 t JOIN f0 p ON p.frame + 1 = t.frame AND p.ch = t.ch AND p.z = t.z AND p.y = t.y AND p.x = t.x WHERE t.ch < 3)", _MODES,
        rest="""SELECT frame, band, CAST(floor(avg(r) * 1e3 + 0.5) AS BIGINT) AS rms_q FROM (SELECT frame, ch, CAST(least(floor(sqrt(k2) / (sqrt(12::DOUBLE) + 1e-6) * 3), 2) AS INTEGER) AS band, sqrt(avg(CAST(re AS DOUBLE) * re + CAST(im AS DOUBLE) * im)) AS r FROM mode GROUP BY ALL) GROUP BY ALL"""))
 def m_frmse_bands(spark, sf_dir):
@@ -115,38 +106,11 @@ def m_enstrophy_ratio(spark, sf_dir):
     return z.join(p, "frame").select("frame", q(F.col("zp") / F.col("z")).alias("ratio_q"))
 
 
-@query("m_tails", with_(FIELD4, rest="""SELECT f.frame, count(*) FILTER (abs(q) > m + 2 * s) AS tail, CAST(floor(avg(pow(q / 1e6, 4)) / pow(avg(pow(q / 1e6, 2)), 2) * 1e6 + 0.5) AS BIGINT) AS flat_q
-  FROM field4 f JOIN (SELECT frame, avg(abs(q)) AS m, stddev_samp(abs(q)) AS s FROM field4 WHERE ch < 3 GROUP BY frame) t ON t.frame = f.frame WHERE ch < 3 GROUP BY f.frame"""))
-def m_tails(spark, sf_dir):
-    """Flatness, and points beyond the mean by two sample deviations: statistics first, then joined back."""
-    f = field4(spark, sf_dir).where("ch < 3")
-    s = f.groupBy("frame").agg(F.avg(F.abs("q")).alias("m"), F.stddev_samp(F.abs("q")).alias("s"))
-    x = F.col("q") / 1e6
-    flat = F.avg(F.pow(x, F.lit(4))) / F.pow(F.avg(F.pow(x, F.lit(2))), F.lit(2))
-    return f.join(s, "frame").groupBy("frame").agg(F.count_if(F.abs("q") > F.col("m") + 2 * F.col("s")).alias("tail"), q(flat).alias("flat_q"))
-
-
 @query("m_correlation", with_(FIELD4, _PT, rest="SELECT frame, CAST(floor(corr(pred, truth) * 1e6 + 0.5) AS BIGINT) AS corr_q FROM pt WHERE ch < 3 GROUP BY frame"))
 def m_correlation(spark, sf_dir):
     return persistence(field4(spark, sf_dir).where("ch < 3")).groupBy("frame").agg(q(F.corr("pred", "truth")).alias("corr_q"))
 
 
-@query("m_sgs_transfer", with_(FIELD4, "s AS (SELECT frame, z, y, x, max(CASE WHEN ch = 0 THEN q END) * max(CASE WHEN ch = 1 THEN q END) AS pi FROM field4 GROUP BY ALL)", rest="SELECT frame, CAST(sum(-pi) AS BIGINT) AS pi_sum, count(*) FILTER (-pi < 0) AS back FROM s GROUP BY frame"))
-def m_sgs_transfer(spark, sf_dir):
-    """Transfer -tau S with one component each: its sum and the points of backscatter."""
-    v = field4(spark, sf_dir).where("ch < 2").groupBy("frame", "z", "y", "x").pivot("ch", [0, 1]).agg(F.max("q"))
-    pi = -(F.col("0") * F.col("1"))
-    return v.groupBy("frame").agg(F.sum(pi).alias("pi_sum"), F.count_if(pi < 0).alias("back"))
-
-
-@query("m_germano", with_(FIELD4, "s AS (SELECT frame, z, y, x, max(CASE WHEN ch = 0 THEN q END) AS l, max(CASE WHEN ch = 1 THEN q END) AS m FROM field4 GROUP BY ALL)", rest="SELECT frame, CAST(floor(least(greatest(CAST(sum(CAST(l AS HUGEINT) * m) AS DOUBLE) / CAST(sum(CAST(m AS HUGEINT) * m) AS DOUBLE), 0), 0.09) * 1e9 + 0.5) AS BIGINT) AS cs2_q FROM s GROUP BY frame"))
-def m_germano(spark, sf_dir):
-    """Dynamic coefficient <LM> / <MM>, clamped to 0 .. 0.09."""
-    v = field4(spark, sf_dir).where("ch < 2").groupBy("frame", "z", "y", "x").pivot("ch", [0, 1]).agg(F.max("q"))
-    d = lambda a, b: F.sum(F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("double")
-    return v.groupBy("frame").agg(q(F.least(F.greatest(d("0", "1") / d("1", "1"), F.lit(0.0)), F.lit(0.09)), 1e9).alias("cs2_q"))
-
-
 @query("m_structure_fn", with_(FIELD4, rest="SELECT a.frame, r, CAST(floor(avg(pow((b.q - a.q) / 1e6, 3)) * 1e6 + 0.5) AS BIGINT) AS s3_q FROM field4 a, range(1, 3) AS g(r), field4 b WHERE a.ch = 0 AND b.ch = 0 AND b.frame = a.frame AND b.z = a.z AND b.y = a.y AND b.x = (a.x + r) % 4 GROUP BY ALL"))
 def m_structure_fn(spark, sf_dir):
     """Signed third-order longitudinal structure function: a shift join along x, periodic."""

@@ -258,13 +258,6 @@ def gauss_filter_n4(spark, sf_dir):
     return dft4(field4(spark, sf_dir)).select("frame", "ch", "kz", "ky", "kx", q(F.col("re") * g, 10).alias("re_q"), q(F.col("im") * g, 10).alias("im_q"))
 
 
-@query("sgs_energy_n4", with_(FIELD4, _PROD, _PMODES, rest=f"SELECT frame, CAST(floor(sum(w * {_GAUSS} * re) FILTER (ch < 3) * 10 + 0.5) AS BIGINT) AS tau_q FROM pmode GROUP BY frame"))
-def sgs_energy_n4(spark, sf_dir):
-    """Filtered products at the origin point, summed over the trace: the first term of the subgrid stress."""
-    m = dft4(products(field4(spark, sf_dir).where("ch < 3")))
-    return m.where("ch < 3").groupBy("frame").agg(q(F.sum(F.col("w") * gauss(F.col("k2"), 0.25) * F.col("re")), 10).alias("tau_q"))
-
-
 @query("strain_n4", _sql("SELECT frame, kz, ky, kx, -kx * im_u AS re_s11, kx * re_u AS im_s11, -(ky * im_u + kx * im_v) / 2.0::DOUBLE AS re_s12, (ky * re_u + kx * re_v) / 2.0::DOUBLE AS im_s12 FROM uvw"))
 def strain_n4(spark, sf_dir):
     c = F.col
@@ -308,16 +301,10 @@ def upsample_linear(field: DataFrame, n: int = 4) -> DataFrame:
     return field.select("frame", "z", "y", "x", "q")
 
 
-@query("upsample_linear_n4", with_(FIELD4, "w AS (SELECT CAST(t AS INTEGER) AS t, CAST(f AS INTEGER) AS f, greatest(0, 1 - abs(least(greatest((t + 0.5) / 2 - 0.5, 0), 3) - f))::DOUBLE AS w FROM range(0, 8) AS a(t), range(0, 4) AS b(f))",
-       rest="SELECT frame, wz.t AS z, wy.t AS y, wx.t AS x, CAST(floor(sum(q * wz.w * wy.w * wx.w) * 64 + 0.5) AS BIGINT) AS q64 FROM field4 JOIN w wz ON wz.f = z AND wz.w > 0 JOIN w wy ON wy.f = y AND wy.w > 0 JOIN w wx ON wx.f = x AND wx.w > 0 WHERE ch = 0 AND frame < 20 GROUP BY ALL"))
-def upsample_linear_n4(spark, sf_dir):
-    return upsample_linear(field4(spark, sf_dir).where("ch = 0 and frame < 20").select("frame", "z", "y", "x", F.col("q").cast("double").alias("q"))).select("frame", "z", "y", "x", q("q", 64).alias("q64"))
-
-
 @query("upsample_linear_n4_all", with_(FIELD4, "w AS (SELECT CAST(t AS INTEGER) AS t, CAST(f AS INTEGER) AS f, greatest(0, 1 - abs(least(greatest((t + 0.5) / 2 - 0.5, 0), 3) - f))::DOUBLE AS w FROM range(0, 8) AS a(t), range(0, 4) AS b(f))",
        rest="SELECT frame, wz.t AS z, wy.t AS y, wx.t AS x, CAST(floor(sum(q * wz.w * wy.w * wx.w) * 64 + 0.5) AS BIGINT) AS q64 FROM field4 JOIN w wz ON wz.f = z AND wz.w > 0 JOIN w wy ON wy.f = y AND wy.w > 0 JOIN w wx ON wx.f = x AND wx.w > 0 WHERE ch = 0 GROUP BY ALL"))
 def upsample_linear_n4_all(spark, sf_dir):
-    """Every frame; upsample_linear_n4 has the first twenty."""
+    """Every frame."""
     return upsample_linear(field4(spark, sf_dir).where("ch = 0").select("frame", "z", "y", "x", F.col("q").cast("double").alias("q"))).select("frame", "z", "y", "x", q("q", 64).alias("q64"))
 
 

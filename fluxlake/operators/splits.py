@@ -221,11 +221,6 @@ def patches(spark, n: int, p: int) -> DataFrame:
     return i.select(F.col("id").alias("patch"), at(g * g).alias("z0"), at(g).alias("y0"), at(1).alias("x0"))
 
 
-@query("patch_grid", "SELECT i AS patch, CAST(i // 16 * 16 AS INTEGER) AS z0, CAST(i // 4 % 4 * 16 AS INTEGER) AS y0, CAST(i % 4 * 16 AS INTEGER) AS x0 FROM range(0, 64) AS g(i)")
-def patch_grid(spark, sf_dir):
-    return patches(spark, 64, 16)
-
-
 @query("crop_periodic", with_(FIELD4, rest="SELECT frame, CAST((z + 4 - 3) % 4 AS INTEGER) AS dz, CAST((y + 4 - 2) % 4 AS INTEGER) AS dy, x AS dx, q FROM field4 WHERE ch = 0 AND (z + 4 - 3) % 4 < 2 AND (y + 4 - 2) % 4 < 2 AND x < 2"))
 def crop_periodic(spark, sf_dir):
     """A 2x2x2 crop at (3, 2, 0) of each field, which wraps round."""
@@ -272,18 +267,9 @@ def seed_duplicates(spark, sf_dir):
     return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(F.col("a.embedding") == F.col("b.embedding")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
 
 
-@query("shuffle_drop_last", with_(RUN_TS, rest="SELECT batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, (row_number() OVER (ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) - 1) // 64 AS batch FROM run_ts WHERE seed = 3) GROUP BY batch HAVING count(*) = 64"))
-def shuffle_drop_last(spark, sf_dir):
-    """A seeded shuffle of one seed's samples in batches, the partial batch dropped."""
-    r = run_ts(spark, sf_dir).where("seed = 3")
-    key = F.pmod(F.col("event_id") * 1103515245 + 12345, F.lit(2147483648))
-    batch = F.floor((F.row_number().over(Window.orderBy(key, "event_id")) - 1) / 64).cast("long")
-    return r.select("event_id", batch.alias("batch")).groupBy("batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).where("n = 64")
-
-
 @query("shuffle_drop_last_all", with_(RUN_TS, rest="SELECT seed, batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT seed, event_id, (row_number() OVER (PARTITION BY seed ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) - 1) // 64 AS batch FROM run_ts) GROUP BY seed, batch HAVING count(*) = 64"))
 def shuffle_drop_last_all(spark, sf_dir):
-    """Every seed's samples shuffled in batches of its own; shuffle_drop_last has one seed."""
+    """Every seed's samples shuffled in batches of its own."""
     key = F.pmod(F.col("event_id") * 1103515245 + 12345, F.lit(2147483648))
     batch = F.floor((F.row_number().over(Window.partitionBy("seed").orderBy(key, "event_id")) - 1) / 64).cast("long")
     return run_ts(spark, sf_dir).select("seed", "event_id", batch.alias("batch")).groupBy("seed", "batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).where("n = 64")

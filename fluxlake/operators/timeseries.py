@@ -244,7 +244,7 @@ def fading_sum(rows: DataFrame, key: str, order: str, x: str) -> DataFrame:
     return rows.join(end, key).groupBy(key).agg(F.sum(F.pow(F.lit(0.5), F.col("n") - F.col(order)) * F.col(x)).alias("b"))
 
 
-@query("ou_fold", with_(RUN_TS, rest="SELECT seed, CAST(floor(sum(pow(0.5, n - ord) * c) * 1000 + 0.5) AS BIGINT) AS b_q FROM (SELECT *, max(ord) OVER (PARTITION BY seed) AS n FROM run_ts) WHERE n - ord < 40 GROUP BY seed"))
+@query("ou_fold", with_(RUN_TS, rest="SELECT seed, CAST(floor(sum(pow(0.5, n - ord) * c) * 1000 + 0.5) AS BIGINT) AS b_q FROM (SELECT *, max(ord) OVER (PARTITION BY seed) AS n FROM run_ts) GROUP BY seed"))
 def ou_fold(spark, sf_dir):
-    """Exponentially fading memory b = b/2 + x, folded in time order over each seed's whole series; what the DuckDB query leaves out is under its rounding."""
+    """Exponentially fading memory b = b/2 + x, folded in time order over each seed's whole series."""
     return fading_sum(run_ts(spark, sf_dir), "seed", "ord", "c").select("seed", q("b", 1000).alias("b_q"))

@@ -33,15 +33,9 @@ def gen_join_right(spark, sf_dir):
     return n.join(s, n.n_nationkey == s.s_nationkey, "right").select("s_suppkey", "n_name")
 
 
-@query("gen_join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 60) s FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 30 AND 90) c ON s_suppkey = c_custkey")
-def gen_join_full(spark, sf_dir):
-    s, c = t(spark, sf_dir, "supplier").where("s_suppkey < 60"), t(spark, sf_dir, "customer").where("c_custkey between 30 and 90")
-    return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
-
-
 @query("gen_join_full_all", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def gen_join_full_all(spark, sf_dir):
-    """Both tables whole; gen_join_full has ranges of their keys."""
+    """Both tables whole."""
     s, c = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "customer")
     return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
 
@@ -119,14 +113,9 @@ def gen_pivot(spark, sf_dir):
     return p.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).alias("urgent"), F.coalesce("2-HIGH", F.lit(0)).alias("high"))
 
 
-@query("gen_unpivot", "SELECT l_orderkey, l_linenumber, k, CAST(floor(v * 100 + 0.5) AS BIGINT) AS v_q FROM (SELECT l_orderkey, l_linenumber, 'discount' AS k, l_discount AS v FROM lineitem WHERE l_orderkey < 50 UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem WHERE l_orderkey < 50)")
-def gen_unpivot(spark, sf_dir):
-    return _rates(t(spark, sf_dir, "lineitem").where("l_orderkey < 50"))
-
-
 @query("gen_unpivot_all", "SELECT l_orderkey, l_linenumber, k, CAST(floor(v * 100 + 0.5) AS BIGINT) AS v_q FROM (SELECT l_orderkey, l_linenumber, 'discount' AS k, l_discount AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem)")
 def gen_unpivot_all(spark, sf_dir):
-    """Every line; gen_unpivot has order keys below 50."""
+    """Every line."""
     return _rates(t(spark, sf_dir, "lineitem"))
 
 
@@ -186,11 +175,6 @@ def gen_subquery_scalar(spark, sf_dir):
     return li.crossJoin(F.broadcast(li.agg(F.avg("l_quantity").alias("m")))).where("l_quantity > m").agg(F.count("*").alias("n"))
 
 
-@query("gen_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
-def gen_recursive(spark, sf_dir):
-    return spark.sql("WITH RECURSIVE r(n, f) AS (SELECT 1, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
-
-
 @query("gen_agg_stats", "SELECT l_returnflag, CAST(floor(stddev_pop(l_quantity) * 1e6 + 0.5) AS BIGINT) AS sp, CAST(floor(stddev_samp(l_quantity) * 1e6 + 0.5) AS BIGINT) AS ss, CAST(floor(corr(l_quantity, l_extendedprice) * 1e6 + 0.5) AS BIGINT) AS c, CAST(median(l_quantity) AS BIGINT) AS m, count(DISTINCT l_suppkey) AS d, bool_or(l_tax > 0.07) AS b, mode(l_linenumber) AS mo FROM lineitem GROUP BY l_returnflag")
 def gen_agg_stats(spark, sf_dir):
     g = t(spark, sf_dir, "lineitem").groupBy("l_returnflag")

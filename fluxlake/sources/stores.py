@@ -76,25 +76,9 @@ def src_json_manifest(spark, sf_dir):
     return r.where("_corrupt_record is null").select("case", "seed", "frames")
 
 
-def read_result_rows(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Result rows of several roots: a row counts if its file is named after its model, task and case; later roots override earlier ones."""
-    rows = None
-    for i, r in enumerate(roots):
-        d = spark.read.json(r, schema="model string, task string, case string, nRMSE_mean double", recursiveFileLookup=True, pathGlobFilter="*.json")
-        d = d.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("stem"), F.lit(i).alias("root"))
-        rows = d if rows is None else rows.union(d)
-    named = rows.where(F.url_decode("stem") == F.concat_ws("__", "model", "task", "case"))
-    return named.groupBy("model", "task", "case").agg(F.max_by("nRMSE_mean", "root").alias("nRMSE_mean"))
-
-
-@query("src_result_roots", with_(RESULT_ROWS, rest="""SELECT model, task, "case", CAST(floor(arg_max(nrmse, root) * 1e9 + 0.5) AS BIGINT) AS nrmse_q FROM result_rows WHERE "case" IN ('NATION_1', 'NATION_2') GROUP BY ALL"""))
-def src_result_roots(spark, sf_dir):
-    return _result_roots(spark, result_rows(spark, sf_dir).where("case in ('NATION_1', 'NATION_2')"))
-
-
 @query("src_result_roots_all", with_(RESULT_ROWS, rest="""SELECT model, task, "case", CAST(floor(arg_max(nrmse, root) * 1e9 + 0.5) AS BIGINT) AS nrmse_q FROM result_rows GROUP BY ALL"""))
 def src_result_roots_all(spark, sf_dir):
-    """Every nation; src_result_roots has two."""
+    """Rows of two roots, of which the later overrides."""
     return _result_roots(spark, result_rows(spark, sf_dir))
 
 
@@ -116,15 +100,9 @@ def _result_roots(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.max_by("nRMSE_mean", "root").alias("v")).select(*KEY, q("v", 1e9).alias("nrmse_q"))
 
 
-@query("src_log_duration", "SELECT count(*) AS runs, CAST(sum(o_orderkey % 100) AS BIGINT) AS hours FROM orders WHERE o_orderkey < 500 AND o_orderkey % 100 > 0")
-def src_log_duration(spark, sf_dir):
-    """Wall-clock from a log's first line: a pattern, a time, and a plausible range."""
-    return _log_duration(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500"))
-
-
 @query("src_log_duration_all", "SELECT count(*) AS runs, CAST(sum(o_orderkey % 100) AS BIGINT) AS hours FROM orders WHERE o_orderkey % 100 > 0")
 def src_log_duration_all(spark, sf_dir):
-    """Every order; src_log_duration has keys below 500."""
+    """Every order."""
     return _log_duration(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
@@ -162,15 +140,9 @@ def decode_npy(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, shape array<int>, values array<double>")
 
 
-@query("src_npy_frames", "SELECT vec_id, CAST(floor(list_sum([x::DOUBLE for x in embedding]) * 1e4 + 0.5) AS BIGINT) AS s FROM embeddings WHERE vec_id < 40")
-def src_npy_frames(spark, sf_dir):
-    """Frames encoded as .npy bytes and decoded in Arrow batches."""
-    return _npy_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40"))
-
-
 @query("src_npy_frames_all", "SELECT vec_id, CAST(floor(list_sum([x::DOUBLE for x in embedding]) * 1e4 + 0.5) AS BIGINT) AS s FROM embeddings")
 def src_npy_frames_all(spark, sf_dir):
-    """Every frame; src_npy_frames has the first forty."""
+    """Every frame."""
     return _npy_frames(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -106,6 +106,7 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/jobs", tmp_path / "jobs")
     shutil.copytree(f"{root}/fluxlake", tmp_path / "fluxlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 150"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
