@@ -43,6 +43,10 @@ HINTS = set(
 ADVERTS = set("ad ads adv advert advertisement advertising adbox adsense promo sponsor sponsored".split())
 COMMENTS = set("comment comments commentlist reply replies respond disqus discussion feedback reader".split())
 GOOD = set("article content main post story entry body text".split())
+#: Marks of boxes around an article.
+OUTER = {"hint": "hint around", "comments": "comments around"}
+#: Words of a block in which a copyright sign tells of a footer.
+SHORT = 20
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
@@ -150,7 +154,12 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
             continue
         if name in REGIONS or name in CONTAINERS:
-            regions = set(stack[-1][1]) | _marks(m[3])
+            regions, own = set(stack[-1][1]), _marks(m[3]) if name != "body" else set()  # a body's classes tell of the whole page
+            if REGIONS.get(name) == "article":
+                own.discard("hint")  # an article's classes tell what it is about
+                if "article" not in regions:  # what is said of boxes around it is weighed at the end
+                    regions = {OUTER.get(r, r) for r in regions}
+            regions |= own
             if name in REGIONS:
                 regions.add(REGIONS[name])
             stack.append((name, frozenset(regions)))
@@ -168,6 +177,11 @@ def blocks(page: str) -> list[Block]:
                 current.tag = current.tag or name
     tag = ""
     close()
+    # Marks of boxes around an article tell it from others on the page; where all have them, they tell nothing.
+    inner = [b for b in found if "article" in b.regions]
+    names = {OUTER[r]: r for r in OUTER if any(OUTER[r] not in b.regions for b in inner)}
+    for b in inner:
+        b.regions = frozenset(names.get(r, r) for r in b.regions)
     return found
 
 
@@ -180,7 +194,7 @@ def features(found: list[Block]) -> np.ndarray:
         r = b.regions
         x[i] = [
             min(b.words, 200), b.density, 0, 0, 0, 0, "article" in r, bool(r & {"menu", "head", "foot", "side", "form", "notice"}), "hint" in r, "comments" in r,
-            b.tag in {"h1", "h2", "h3", "h4", "h5", "h6"}, "\N{COPYRIGHT SIGN}" in b.text or "good" in r and 0.5, some,
+            b.tag in {"h1", "h2", "h3", "h4", "h5", "h6"}, b.words <= SHORT and "\N{COPYRIGHT SIGN}" in b.text or "good" in r and 0.5, some,
         ]
     x[1:-1, 2:4], x[1:-1, 4:6] = x[:-2, :2], x[2:, :2]
     return x[1:-1]

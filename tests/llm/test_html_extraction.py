@@ -60,3 +60,25 @@ def test_unmatched_end_tags_cost_nothing():
 
     seconds(1000)
     assert seconds(40_000) < 12 * max(0.02, seconds(10_000))
+
+
+def test_classes_of_boxes_around_the_article_do_not_empty_the_page(spark, sf_dir):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    around = lambda h, a, b: re.sub(r"(<body[^>]*>)", lambda m: m[1] + a, h, count=1).replace("</body>", b + "</body>")
+    changes = [
+        lambda h: re.sub(r"<body[^>]*>", "<body class='single search'>", h), lambda h: around(h, "<div class='page login'>", "</div>"), lambda h: around(h, "<div class='has-sidebar sidebar-right'>", "</div>"),
+        lambda h: around(h, "<div class=reader>", "</div>"), lambda h: re.sub(r"<article[^>]*>", "<article class='post tags popular'>", h),
+    ]
+    for h in pages:
+        want = H.extract(h)
+        assert want and all(H.extract(f(h)) == want for f in changes)
+
+
+def test_marks_around_some_articles_still_count():
+    page = "<article><p>The text of the page itself, which has some words.</p></article><div class=related><article><p>Another text that the reader may like as well.</p></article></div><section class=comments><article><p>I read this text and found it good.</p></article></section>"
+    assert H.extract(page) == "The text of the page itself, which has some words."
+
+
+def test_a_copyright_sign_in_a_long_paragraph_stays():
+    long = "The sign \N{COPYRIGHT SIGN} stands for a right that an author has in a text, a picture or a piece of music, and it is older than most who use it today."
+    assert H.extract(f"<article><p>First words.</p><p>{long}</p><p>&copy; The site</p></article>") == f"First words. {long}"
