@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that register queries when imported.
-MODULES: list[str] = ["operators.statistics", "operators.timeseries", "operators.spectra", "operators.splits", "operators.spectral", "operators.metrics", "operators.leaderboard", "operators.gates", "plans.relational", "functions.scalar", "functions.schedules", "sources.stores", "streaming.monitors", "operators.dynamics", "operators.subgrid", "operators.acceptance", "operators.separable", "sources.chunks", "operators.standard", "operators.constraints", "operators.tiles", "sources.sidecars", "streaming.resumed"]
+MODULES: list[str] = ["operators.statistics", "operators.timeseries", "operators.spectra", "operators.splits", "operators.spectral", "operators.metrics", "operators.leaderboard", "operators.gates", "plans.relational", "functions.scalar", "functions.schedules", "sources.stores", "streaming.monitors", "operators.dynamics", "operators.subgrid", "operators.acceptance", "operators.separable", "sources.chunks", "operators.standard", "operators.constraints", "operators.tiles", "sources.sidecars", "streaming.resumed", "operators.reviews"]
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
