@@ -18,14 +18,13 @@ and kept by `keep`.
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +49,7 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({s for _, s in SCRIPTS})
 _OF_START = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
-#: Characters that count as word characters but are neither letters nor decimal digits, such as fractions.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-words_of = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
+words_of = regex.compile(r"\p{L}+").findall
 
 
 def scripts(words: list[str]) -> np.ndarray:
