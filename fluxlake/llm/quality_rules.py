@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
 Each rule is a boolean column (true: the document is rejected). A bounded random
-sample gives each rule's rejection rate and cost, the latter by evaluating the rule
-many times over, so that its work outweighs the start of a job. Rules then run in
+sample gives each rule's rejection rate and cost, in one aggregate: cost is counted as the
+characters that a rule reads, so the order is the same in every run. Rules then run in
 descending order of rejections per unit of cost, inside one CASE, which stops at the
 first rule that rejects: what a later rule reads of the text is not computed then.
 The order changes the time, never the verdict.
@@ -18,17 +18,13 @@ names, are not read.
 
 from __future__ import annotations
 
-import math
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that orders the rules, at most twice as many, and characters that a rule is timed on.
-SAMPLE_ROWS, TIMED_CHARS = 400, 20_000_000
-#: The least cost of a rule on one row, in seconds; costs count as powers of two of it, so that noise does not change the order.
-LEAST_COST = 2e-6
+#: Rows of the sample that orders the rules, at most twice as many.
+SAMPLE_ROWS = 400
 
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -36,8 +32,11 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule and the work it takes on a row: characters it reads, 1 for a comparison of numbers that are there."""
+
     name: str
     rejects: Column
+    work: Column | int = 1
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -89,43 +88,23 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("dup_lines", (F.col("n_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines"))),
         Rule("repeats", 100 * F.col("n_repeat_words") > 35 * n),
-        Rule("capitals", 2 * F.regexp_count("text", F.lit("[A-Z]")).cast("long") > F.col("word_chars")),
-        Rule("shouting", 5 * F.regexp_count("text", F.lit("!!")).cast("long") > n),
+        Rule("capitals", 2 * F.regexp_count("text", F.lit("[A-Z]")).cast("long") > F.col("word_chars"), F.length("text")),
+        Rule("shouting", 5 * F.regexp_count("text", F.lit("!!")).cast("long") > n, F.length("text")),
     ]
 
 
-def measure(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, int]]:
-    """(rule, rejection rate, cost as a power of two of LEAST_COST) on a sample that is kept in memory meanwhile."""
-    sample = sample.persist()
-    try:
-        rows, chars = sample.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-        if not rows:
-            return [(r, 0.0, 0) for r in rules]
-        times = int(min(200, max(1, TIMED_CHARS // max(1, chars), 1)))
-        repeated = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("again"))
-
-        def seconds(rejects: Column) -> tuple[float, float]:
-            best, rate = math.inf, 0.0
-            for _ in range(2):
-                began = time.perf_counter()
-                rate = repeated.agg(F.avg(F.coalesce(rejects, F.lit(False)).cast("int"))).first()[0]
-                best = min(best, time.perf_counter() - began)
-            return best, rate
-
-        idle, _ = seconds(F.col("again") < 0)
-        found = []
-        for r in rules:
-            took, rate = seconds(r.rejects)
-            each = max(LEAST_COST, (took - idle) / (rows * times))
-            found.append((r, rate, round(math.log2(each / LEAST_COST))))
-        return found
-    finally:
-        sample.unpersist()
-
-
-def ordered(measured: list[tuple[Rule, float, int]]) -> list[Rule]:
-    """Rules by rejections per cost."""
-    return [r for r, rate, cost in sorted(measured, key=lambda x: -x[1] / 2.0 ** x[2])]
+def measure(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, rejection rate, mean work on a row) on a sample, in one aggregate: counted work is the same in every run, where times are not."""
+    work = lambda r: r.work if isinstance(r.work, Column) else F.lit(r.work)
+    rates = [F.avg(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias(f"rate_{i}") for i, r in enumerate(rules)]
+    costs = [F.avg(work(r)).alias(f"cost_{i}") for i, r in enumerate(rules)]
+    got = sample.agg(*rates, *costs).first()
+    return [(r, got[f"rate_{i}"] or 0.0, max(1.0, float(got[f"cost_{i}"] or 0.0))) for i, r in enumerate(rules)]
+
+
+def ordered(measured: list[tuple[Rule, float, float]]) -> list[Rule]:
+    """Rules by rejections per cost; equal ones stay in their order."""
+    return [r for r, rate, cost in sorted(measured, key=lambda x: -x[1] / x[2])]
 
 
 def cascade(rules: list[Rule]) -> Column:

@@ -47,3 +47,14 @@ def test_empty(empty):
 def test_no_python_on_the_way(documents):
     plan = q.quality_rules(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_the_order_follows_rejections_per_work_and_is_the_same_in_every_run(spark, documents):
+    d = spark.createDataFrame([(i, "x" * 100) for i in range(10)], "doc_id long, text string").withColumn("n_words", F.col("doc_id"))
+    rules = [q.Rule("dear", F.col("n_words") < 9, F.length("text")), q.Rule("rare", F.col("n_words") < 1), q.Rule("cheap", F.col("n_words") < 2)]
+    assert [(r.name, rate, cost) for r, rate, cost in q.measure(d, rules)] == [("dear", 0.9, 100.0), ("rare", 0.1, 1.0), ("cheap", 0.2, 1.0)]
+    assert [r.name for r in q.ordered(q.measure(d, rules))] == ["cheap", "rare", "dear"]
+    s = q.with_statistics(documents)
+    orders = {tuple(r.name for r in q.ordered(q.measure(s, q.default_rules()))) for _ in range(10)}
+    assert len(orders) == 1
+    assert [r.name for r in q.ordered(q.measure(s.limit(0), q.default_rules()))] == [r.name for r in q.default_rules()]
