@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a random-projection tree forest.
 
 Trees split recursively at random directions; points near a split fall on both
-sides. A split that would part links widens its margin; a node that is one dense
+sides. A split that would part links widens its margin; a dense group within a node is set
+apart by the cosine to its centre, and the rest goes on splitting; a node that is one dense
 group is not split. Only thresholds are learned, from a bounded sample; every vector is
 indexed. Vectors of one label that share a leaf of any tree are compared exactly,
 in double precision, in blocks of bounded size, and links are united.
@@ -33,8 +34,12 @@ COSINE = 0.93
 SAMPLE, TREES, LEAF, SPILL, DIRECTIONS, DEEPEST = 20_000, 8, 400, 0.15, 256, 18
 #: Vectors of a leaf that one task compares with as many others.
 BLOCK = 1024
-#: Splits must not cut dense groups: sample vectors of a node whose links are looked at, links needed to tell, share of them that a split may part, share of the node that may go both ways for that, directions tried before a node stays whole.
+#: Splits must not cut dense groups: sample vectors of a node whose links are looked at, links needed to tell, share of them that a split may part, share of the node that may go both ways for that, directions tried before a group is set apart.
 SEEN, TELLING, PARTED, BOTH, TRIES = 512, 32, 0.05, 0.35, 8
+#: Groups that a forest sets apart, levels more for that, and the least share of a node on either side of such a split.
+GROUPS, MORE, ASIDE = 64, 2, 0.02
+#: Cosine to a group's centre at which it is set apart.
+FAR = 0.75
 
 
 @dataclass
@@ -71,12 +76,22 @@ def _margin(v: np.ndarray, cut: float, a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, float(np.quantile(np.minimum(-low, high), 1 - PARTED)))  # a pair is parted by margins below this
 
 
+def _centre(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The mean direction of the vector with the most links and of those it is linked with."""
+    most = np.bincount(np.concatenate([a, b]), minlength=len(x)).argmax()
+    c = x[np.unique(np.concatenate([[most], b[a == most], a[b == most]]))].sum(0)
+    return c / np.linalg.norm(c)
+
+
 def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int = 5, threshold: float = COSINE) -> Forest:
     """Trees for `size` vectors of the most frequent label; the sample sets each node's median and spread, and where splitting ends."""
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(dim, DIRECTIONS))
     directions /= np.linalg.norm(directions, axis=0)
     depth = int(min(DEEPEST, max(0, np.ceil(np.log2(max(1, size) / LEAF)))))
+    seen = rng.choice(len(sample), min(len(sample), 4 * SEEN), replace=False) if len(sample) else np.zeros(0, int)
+    if depth and np.bincount(np.nonzero(sample[seen] @ sample[seen].T >= threshold)[0], minlength=1).max(initial=0) > ASIDE * len(seen) + TELLING:
+        depth = min(DEEPEST, depth + MORE)  # a dense group: setting it apart takes levels
     nodes = (1 << depth) - 1
     picks = rng.integers(0, DIRECTIONS, (trees, max(1, nodes)), np.int16)
     cuts, margins = np.zeros(picks.shape, np.float32), np.zeros(picks.shape, np.float32)
@@ -98,8 +113,17 @@ def plant(sample: np.ndarray, size: int, dim: int, trees: int = TREES, seed: int
                     picks[t, node], cuts[t, node], margins[t, node] = pick, cut, margin
                     if len(a) < TELLING or (np.abs(v - cut) <= margin).mean() <= BOTH:
                         break
-                else:  # all go left: the node stays whole
-                    cuts[t, node], margins[t, node] = np.inf, 0.0
+                else:
+                    c = _centre(sample[seen], a, b)
+                    v = sample[own] @ c
+                    inside_ = v > FAR
+                    if directions.shape[1] < DIRECTIONS + GROUPS and ASIDE <= inside_.mean() <= 1 - ASIDE:  # the group on one side, the rest, which goes on splitting, on the other
+                        margin = _margin(sample[seen] @ c, FAR, a, b)
+                        if (np.abs(v - FAR) <= margin).mean() <= BOTH:
+                            directions, p = np.column_stack([directions, c]), np.column_stack([p, sample @ c])
+                            picks[t, node], cuts[t, node], margins[t, node] = directions.shape[1] - 1, FAR, margin
+                    if picks[t, node] < DIRECTIONS:  # all go left: the node stays whole
+                        cuts[t, node], margins[t, node] = np.inf, 0.0
             else:  # too few to tell: as in the whole sample
                 cuts[t, node], margins[t, node] = middle[picks[t, node]], SPILL * spread[picks[t, node]]
             v = p[own, picks[t, node]]

@@ -147,3 +147,39 @@ def test_links_of_a_dense_label(spark):
     want = int((y @ y.T >= D.COSINE).sum()) - len(y)
     got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).agg({"n_links": "sum"}).first()[0]
     assert 0.9 * want <= got <= want
+
+
+@pytest.mark.parametrize("share", [0.6, 0.4])
+def test_a_dense_group_does_not_keep_others_together(share):
+    size, total = 200_000, 20_000
+    n = int(share * total)
+    x = dense(4, n, far=total - n - 400)
+    a, b = planted(200, 200, 0.94, seed=8)  # near pairs among the others
+    x = np.concatenate([x, a, b])
+    f = D.plant(x[np.random.default_rng(0).permutation(total)[: D.SAMPLE]], size, 64)
+    assert f.depth >= 9 and len(f.picks) == D.TREES
+    rows, leaves = f.leaves(x)
+    of_others = np.unique(leaves[rows >= n], return_counts=True)[1]
+    assert of_others.max() < 4 * D.LEAF * total / size * 10  # in the sample's numbers; all together before
+    held = [set() for _ in x]
+    for r, leaf in zip(rows, leaves, strict=True):
+        held[r].add(leaf)
+    pairs = [not held[total - 400 + i].isdisjoint(held[total - 200 + i]) for i in range(200)]
+    some = np.random.default_rng(1).choice(n, 600, replace=False)
+    i, j = np.nonzero(np.triu(x[some] @ x[some].T >= D.COSINE, 1))
+    linked = [not held[some[p]].isdisjoint(held[some[q]]) for p, q in zip(i[:20_000], j[:20_000], strict=True)]
+    assert len(linked) > 1000 and np.mean(pairs) >= 0.9 and np.mean(linked) >= 0.9
+
+
+def test_links_of_a_dense_group_among_others(spark, monkeypatch):
+    monkeypatch.setattr(D, "LEAF", 60)
+    x = np.concatenate([dense(6, 1_500, dim=16, far=1_000), *planted(150, 150, 0.95, dim=16, seed=3)]).astype(np.float32)
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = y @ y.T >= D.COSINE
+    np.fill_diagonal(want, False)
+    out = {r["vec_id"]: r["n_links"] for r in D.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA).repartition(4)).collect()}
+    got = np.array([out[i] for i in range(len(x))])
+    assert (got <= want.sum(1)).all()
+    for part in (slice(0, 1_500), slice(1_500, None)):
+        assert 0.9 * want[part].sum() <= got[part].sum()
