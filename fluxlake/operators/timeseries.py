@@ -92,8 +92,8 @@ def ts_monotone_frac(spark, sf_dir):
 
 
 def k_max_eta(eps: Column, nu: float = NU, kmax: float = KMAX) -> Column:
-    """kmax times the Kolmogorov length."""
-    return kmax * F.pow(nu**3 / eps, F.lit(0.25))
+    """kmax times the Kolmogorov length, which is infinite where nothing is dissipated."""
+    return kmax * F.pow(F.when(eps == 0, F.lit(math.inf)).otherwise(nu**3 / eps), F.lit(0.25))
 
 
 _ETA = f"{KMAX} * pow(CAST({NU**3!r} AS DOUBLE) / (eps / 1000), 0.25)"

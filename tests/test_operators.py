@@ -141,3 +141,21 @@ def test_fading_sum_has_the_whole_series(spark):
     df = spark.createDataFrame([("a", i, 2**50 if i == 0 else 1) for i in range(46)] + [("b", 0, 7)], "k string, i int, x long")
     got = {r["k"]: r["b"] for r in timeseries.fading_sum(df, "k", "i", "x").collect()}
     assert got["b"] == 7 and got["a"] == pytest.approx(2**5 + 2 - 2**-44, rel=1e-12)
+
+
+def test_without_dissipation_the_smallest_length_is_infinite(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, None), (2, timeseries.NU**3)], "i int, eps double")
+    got = {r["i"]: r["e"] for r in df.select("i", timeseries.k_max_eta(F.col("eps")).alias("e")).collect()}
+    assert got == {0: float("inf"), 1: None, 2: timeseries.KMAX}
+
+
+@pytest.mark.parametrize("name", ["decay_gates", "gate_a1_class", "gate_trajectory_hard", "ts_frame_gate"])
+def test_gates_over_events_without_dissipation(spark, sf_dir, tmp_path, name):
+    """The tables with a first event of value 0, against the SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 100 = 3 THEN 0 ELSE value END AS value) FROM '{sf_dir}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = registry.queries()[name](spark, str(tmp_path)), con.sql(registry.oracle_sql()[name])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.select(*got.columns).fetchall()))
