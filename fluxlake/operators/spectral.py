@@ -278,8 +278,11 @@ def slice_midplane(spark, sf_dir):
 
 @query("velocity_magnitude", with_(FIELD4, _PROD.split(",\nprod AS")[0], rest="SELECT frame, z, y, x, CAST(floor(sqrt(CAST(CAST(a AS HUGEINT) * a + CAST(b AS HUGEINT) * b + CAST(c AS HUGEINT) * c AS DOUBLE)) + 0.5) AS BIGINT) AS mag FROM v3"))
 def velocity_magnitude(spark, sf_dir):
-    v = field4(spark, sf_dir).where("ch < 3").groupBy("frame", "z", "y", "x").agg(F.sum(_D("q") * _D("q")).alias("s"))
-    return v.select("frame", "z", "y", "x", q(F.sqrt(F.col("s").cast("double")), 1).alias("mag"))
+    """Unknown where a component is missing."""
+    part = lambda c: F.max(F.when(F.col("ch") == c, _D("q")))
+    s = sum((part(c) * part(c) for c in (1, 2)), part(0) * part(0))
+    v = field4(spark, sf_dir).groupBy("frame", "z", "y", "x").agg(s.cast("double").alias("s"))
+    return v.select("frame", "z", "y", "x", q(F.sqrt("s"), 1).alias("mag"))
 
 
 @query("coriolis_n4", _sql("SELECT frame, kz, ky, kx, CAST(-2 * 2.5 * re_v AS BIGINT) AS re_cx, CAST(2 * 2.5 * re_u AS BIGINT) AS re_cy FROM uvw"))

@@ -1,9 +1,11 @@
 """Edge cases of the library's operators on small literals."""
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from conftest import rows_of
 from fluxlake import registry
 from fluxlake.operators import leaderboard, metrics, splits, statistics, timeseries
 from fluxlake.plans import relational
@@ -149,13 +151,22 @@ def test_without_dissipation_the_smallest_length_is_infinite(spark):
     assert got == {0: float("inf"), 1: None, 2: timeseries.KMAX}
 
 
+def as_its_sql(spark, name, table, path, rows):
+    """Runs a query and its oracle on a table made by SQL."""
+    con = duckdb.connect()
+    con.sql(f"COPY ({rows}) TO '{path}/{table}.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet'")
+    got, want = registry.queries()[name](spark, str(path)).toArrow(), con.sql(registry.oracle_sql()[name]).to_arrow_table()
+    assert rows_of(got, want.column_names) == rows_of(want, want.column_names)
+    return got.to_pylist()
+
+
 @pytest.mark.parametrize("name", ["decay_gates", "gate_a1_class", "gate_trajectory_hard", "ts_frame_gate"])
 def test_gates_over_events_without_dissipation(spark, sf_dir, tmp_path, name):
-    """The tables with a first event of value 0, against the SQL."""
-    import duckdb
+    as_its_sql(spark, name, "events", tmp_path, f"SELECT * REPLACE (CASE WHEN event_id % 100 = 3 THEN 0 ELSE value END AS value) FROM '{sf_dir}/events.parquet'")
 
-    con = duckdb.connect()
-    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 100 = 3 THEN 0 ELSE value END AS value) FROM '{sf_dir}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
-    got, want = registry.queries()[name](spark, str(tmp_path)), con.sql(registry.oracle_sql()[name])
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.select(*got.columns).fetchall()))
+
+def test_the_magnitude_of_a_frame_that_lacks_a_component_is_unknown(spark, sf_dir, tmp_path):
+    """Frame 0 lacks w, frame 1 has its pressure only."""
+    got = as_its_sql(spark, "velocity_magnitude", "embeddings", tmp_path, f"SELECT * FROM '{sf_dir}/embeddings.parquet' WHERE vec_id NOT IN (2, 4, 5, 6)")
+    assert {r["frame"] for r in got if r["mag"] is None} == {0, 1}
