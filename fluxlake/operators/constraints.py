@@ -82,9 +82,10 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.select("frame", "z", F.posexplode("values").alias("ch", "values"))
 
 
-def initial(planes: DataFrame, truth: DataFrame, is_first: Column) -> DataFrame:
-    """Planes whose first frames are the true ones, where there are any."""
-    t = truth.select("frame", "ch", "z", F.col("values").alias("true"))
+def initial(planes: DataFrame, truth: DataFrame, n: int, is_first: Column) -> DataFrame:
+    """Planes whose first frames are the true ones, where there are any; a true frame that lacks planes is none."""
+    t = truth.where("ch < 3").select("frame", "ch", "z", F.col("values").alias("true"))
+    t = t.join(t.groupBy("frame").count().where(F.col("count") == 3 * n), "frame", "left_semi")
     return planes.join(t, ["frame", "ch", "z"], "left").select("frame", "ch", "z", F.when(is_first, F.coalesce("true", "values")).otherwise(F.col("values")).alias("values"))
 
 
@@ -94,7 +95,7 @@ def project(planes: DataFrame, truth: DataFrame, n: int, is_first: Column, links
         raise ValueError(f"unknown links {sorted(odd)}")
     velocity = planes.where("ch < 3")
     if "initial" in links:
-        velocity = initial(velocity, truth, is_first)
+        velocity = initial(velocity, truth, n, is_first)
     packed = S.inverse(leray(S.forward(velocity, n, [0, 1, 2]), n), n, 3) if "divergence" in links else pack(velocity)
     if not {"momentum", "energy"} & set(links):
         return packed
