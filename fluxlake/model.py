@@ -1,19 +1,10 @@
-"""Dimensions and shared column helpers of the data model."""
+"""Shared column helpers of the data model."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def mode_dim(spark: SparkSession, n: int, half: bool = True) -> DataFrame:
-    """Integer wavenumbers of an n-point periodic box: kx (the half axis), ky, kz, k2, shell and the Parseval weight."""
-    axis = lambda name, stop: spark.range(stop).select(F.when(F.col("id") > n // 2 - (1 if n % 2 == 0 and name != "kx" else 0), F.col("id") - n).otherwise(F.col("id")).cast("int").alias(name))
-    kx = spark.range(n // 2 + 1 if half else n).select(F.col("id").cast("int").alias("kx"))
-    modes = axis("kz", n).crossJoin(axis("ky", n)).crossJoin(kx)
-    k2 = F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky") + F.col("kz") * F.col("kz")
-    weight = F.when((F.col("kx") == 0) | (F.col("kx") * 2 == n), 1).otherwise(2)
-    return modes.withColumn("k2", k2).withColumn("shell", F.floor(F.sqrt("k2") + 0.5).cast("int")).withColumn("w", weight)
-
 
 def q(x: Column | str, scale: float = 1e6) -> Column:
     """A double as a whole number of 1/scale, the same in every engine."""

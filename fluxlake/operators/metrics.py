@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import FIELD4, field4, with_
 from ..model import q
 from ..registry import query
-from .spectral import _MODES, UVW, by_channel, curl, dft4
+from .spectral import _MODES, UVW, by_channel, curl, dft4, packed4
 
 _D = lambda c: F.col(c).cast("decimal(19,0)")
 
@@ -57,7 +57,9 @@ def m_nan_filtered_mean(spark, sf_dir):
        rest="""SELECT frame, band, CAST(floor(avg(r) * 1e3 + 0.5) AS BIGINT) AS rms_q FROM (SELECT frame, ch, CAST(least(floor(sqrt(k2) / (sqrt(12::DOUBLE) + 1e-6) * 3), 2) AS INTEGER) AS band, sqrt(avg(CAST(re AS DOUBLE) * re + CAST(im AS DOUBLE) * im)) AS r FROM mode GROUP BY ALL) GROUP BY ALL"""))
 def m_frmse_bands(spark, sf_dir):
     """Root mean square of the error's modes in three bands up to the corner, unweighted, then the mean over channels."""
-    d = persistence(field4(spark, sf_dir).where("ch < 3")).select("frame", "ch", "z", "y", "x", (F.col("pred") - F.col("truth")).alias("q"))
+    f = packed4(spark, sf_dir).where("ch < 3")
+    before = f.select((F.col("frame") + 1).alias("frame"), "ch", F.col("v").alias("pred"))
+    d = before.join(f, ["frame", "ch"]).select("frame", "ch", F.zip_with("pred", "v", lambda a, b: a - b).alias("v"))
     band = F.least(F.floor(F.sqrt("k2") / (math.sqrt(12.0) + 1e-6) * 3), F.lit(2)).cast("int")
     e = F.col("re").cast("double") * F.col("re") + F.col("im").cast("double") * F.col("im")
     r = dft4(d).groupBy("frame", "ch", band.alias("band")).agg(F.sqrt(F.avg(e)).alias("r"))
@@ -68,7 +70,7 @@ _SP = "e AS (SELECT frame, shell, CAST(sum(w * (CAST(re AS HUGEINT) * re + CAST(
 
 
 def _spectra(spark, sf_dir) -> DataFrame:
-    m = dft4(field4(spark, sf_dir).where("ch < 3")).where("shell <= 2")
+    m = dft4(packed4(spark, sf_dir).where("ch < 3")).where("shell <= 2")
     return m.groupBy("frame", "shell").agg((F.sum(F.col("w") * (_D("re") * _D("re") + _D("im") * _D("im"))).cast("double") / 4096 / 1e12).alias("e"))
 
 
@@ -101,7 +103,7 @@ def enstrophy(m: DataFrame) -> DataFrame:
 
 @query("m_enstrophy_ratio", with_(FIELD4, _MODES, _ENS, rest="SELECT t.frame, CAST(floor(p.z / t.z * 1e6 + 0.5) AS BIGINT) AS ratio_q FROM ens t JOIN ens p ON p.frame + 1 = t.frame"))
 def m_enstrophy_ratio(spark, sf_dir):
-    z = enstrophy(by_channel(dft4(field4(spark, sf_dir)), UVW))
+    z = enstrophy(by_channel(packed4(spark, sf_dir), UVW))
     p = z.select((F.col("frame") + 1).alias("frame"), F.col("z").alias("zp"))
     return z.join(p, "frame").select("frame", q(F.col("zp") / F.col("z")).alias("ratio_q"))
 

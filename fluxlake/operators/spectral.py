@@ -6,39 +6,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import FIELD4, field4, with_
-from ..model import mode_dim, q
+from ..fixtures import FIELD4, field4, table, with_
+from ..model import q
 from ..registry import query
 
-#: cos and sin of -2 pi m / 4.
-_cos = lambda m: F.get(F.array(*map(F.lit, (1, 0, -1, 0))), m)
-_sin = lambda m: F.get(F.array(*map(F.lit, (0, -1, 0, 1))), m)
+#: The 48 modes (kz, ky, kx, k2, shell, w) of the half spectrum of 4 points an axis; the half axis stands for its mirror image, with weight w.
+MODES4 = [(kz, ky, kx, kz * kz + ky * ky + kx * kx, int((kz * kz + ky * ky + kx * kx) ** 0.5 + 0.5), 1 if kx in (0, 2) else 2) for kz in (0, 1, -2, -1) for ky in (0, 1, -2, -1) for kx in range(3)]
+_MODE = ("kz", "ky", "kx", "k2", "shell", "w")
+_PHASE = np.array([[(kz * (i // 16) + ky * (i // 4 % 4) + kx * (i % 4)) % 4 for kz, ky, kx, *_ in MODES4] for i in range(64)])
+#: cos and sin of -2 pi m / 4, by points and modes.
+_COS, _SIN = np.array([1, 0, -1, 0])[_PHASE], np.array([0, -1, 0, 1])[_PHASE]
 
 
-def dft4(field: DataFrame) -> DataFrame:
-    """Forward real DFT of 4x4x4 fields (frame, ch, z, y, x, q): modes (frame, ch, kz, ky, kx, k2, shell, w, re, im) as whole numbers. The 48 modes are a broadcast dimension; sums combine before the shuffle."""
-    modes = F.broadcast(mode_dim(field.sparkSession, 4))
-    m = F.pmod(F.col("kz") * F.col("z") + F.col("ky") * F.col("y") + F.col("kx") * F.col("x"), F.lit(4))
-    j = field.crossJoin(modes)  # 48 rows, by construction
-    return j.groupBy("frame", "ch", "kz", "ky", "kx", "k2", "shell", "w").agg(F.sum(F.col("q") * _cos(m)).alias("re"), F.sum(F.col("q") * _sin(m)).alias("im"))
+def packed4(spark, sf_dir) -> DataFrame:
+    """field4 with the 64 points of a frame's channel as one array: frame, ch, v. A row of the table is a row here, so that nothing is shuffled."""
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: q(x)))
+    v = F.coalesce(F.when(F.size("v") == 64, F.col("v")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("v", i)))
+    return e.select(F.floor(F.col("vec_id") / 4).cast("long").alias("frame"), (F.col("vec_id") % 4).cast("int").alias("ch"), v.alias("v"))
+
+
+def _numbers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole numbers, with 0 for what is null, and which rows have any."""
+    flat = column.flatten()
+    size = len(flat) // max(len(column), 1)
+    x = flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, size)
+    if x.size and max(x.max(), -x.min()) > 2**56:
+        raise OverflowError("sums of these values are not exact")
+    return x, flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size).any(1)
+
+
+def _lists(x: np.ndarray, there: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), mask=np.repeat(~there, x.shape[1])))
+
+
+def transformed(fields: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The forward real DFT of each named column of 64 points: keys, and re_<name>, im_<name> of the 48 modes as whole numbers. Rows stay where they are; a field without any value has null modes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = b.columns[: len(keys)]
+            for c in b.columns[len(keys) :]:
+                x, there = _numbers(c)
+                out += [_lists(x @ _COS, there), _lists(x @ _SIN, there)]
+            yield pa.RecordBatch.from_arrays(out, names=[*keys, *(f"{p}_{n}" for n in names for p in ("re", "im"))])
+
+    nothing = F.array_repeat(F.lit(None).cast("long"), 64)
+    types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields.select(*keys).schema), *(f"{p}_{n} array<long>" for n in names for p in ("re", "im"))])
+    return fields.select(*keys, *(F.coalesce(n, nothing).alias(n) for n in names)).mapInArrow(run, types)
+
+
+def spread(modes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A row for each of the 48 modes of packed modes: keys, kz, ky, kx, k2, shell, w and the columns."""
+    dim = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(_MODE, m, strict=True))) for m in MODES4))
+    rows = modes.select(*keys, F.inline(F.arrays_zip(dim.alias("mode"), *columns)))
+    return rows.select(*keys, *(F.col(f"mode.{c}").alias(c) for c in _MODE), *columns)
+
+
+def dft4(packed: DataFrame) -> DataFrame:
+    """Forward real DFT of packed 4x4x4 fields (frame, ch, v): modes (frame, ch, kz, ky, kx, k2, shell, w, re, im) as whole numbers."""
+    m = transformed(packed.select("frame", "ch", "v"), ["frame", "ch"], ["v"])
+    return spread(m.select("frame", "ch", F.col("re_v").alias("re"), F.col("im_v").alias("im")), ["frame", "ch"], ["re", "im"])
 
 
 def idft4(modes: DataFrame) -> DataFrame:
-    """Inverse of dft4, of whole-number modes: q of every point."""
-    p = modes.sparkSession.range(64).select(*((F.floor(F.col("id") / d) % 4).cast("int").alias(c) for c, d in (("z", 16), ("y", 4), ("x", 1))))
-    m = F.pmod(F.col("kz") * F.col("z") + F.col("ky") * F.col("y") + F.col("kx") * F.col("x"), F.lit(4))
-    # The half axis stands for its mirror image; e^{+i} has the opposite sine.
-    value = F.col("w") * (F.col("re") * _cos(m) + F.col("im") * _sin(m))
-    return modes.crossJoin(F.broadcast(p)).groupBy("frame", "ch", "z", "y", "x").agg((F.sum(value) / 64).cast("long").alias("q"))
+    """Inverse of transformed, of whole-number modes (frame, ch, re_v, im_v): v, the 64 points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array([m[5] for m in MODES4])
+        for b in batches:
+            (re, there), (im, _) = _numbers(b.column(2)), _numbers(b.column(3))
+            # The half axis stands for its mirror image; e^{+i} has the opposite sine, which the forward table holds.
+            v = ((re * w) @ _COS.T + (im * w) @ _SIN.T) // 64
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(v, there)], names=["frame", "ch", "v"])
+
+    return modes.select("frame", "ch", "re_v", "im_v").mapInArrow(run, "frame long, ch int, v array<long>")
+
 
+def abreast(packed: DataFrame, channels: dict[int, str]) -> DataFrame:
+    """Channels of a frame side by side: frame and an array <name> for each, null where the frame has none. One shuffle of packed fields by frame."""
+    return packed.groupBy("frame").agg(*(F.any_value(F.when(F.col("ch") == c, F.col("v")), True).alias(n) for c, n in channels.items()))
 
-def by_channel(modes: DataFrame, channels: dict[int, str]) -> DataFrame:
-    """Channels side by side: re_<name>, im_<name>."""
-    cols = [F.max(F.when(F.col("ch") == c, F.col(p))).alias(f"{p}_{n}") for c, n in channels.items() for p in ("re", "im")]
-    return modes.where(F.col("ch").isin(*channels)).groupBy("frame", "kz", "ky", "kx", "k2", "shell", "w").agg(*cols)
+
+def by_channel(packed: DataFrame, channels: dict[int, str]) -> DataFrame:
+    """Modes of channels side by side: re_<name>, im_<name>."""
+    wide = abreast(packed.where(F.col("ch").isin(*channels)), channels)
+    return modes_of(wide, list(channels.values()))
+
+
+def modes_of(wide: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each frame and mode, with re_<name>, im_<name> of each packed column."""
+    return spread(transformed(wide, ["frame"], names), ["frame"], [f"{p}_{n}" for n in names for p in ("re", "im")])
 
 
 UVW = {0: "u", 1: "v", 2: "w"}
@@ -57,18 +118,20 @@ def _sql(rest: str) -> str:
 
 @query("dft_n4", _sql("SELECT frame, ch, kz, ky, kx, re, im FROM mode"))
 def q_dft_n4(spark, sf_dir):
-    return dft4(field4(spark, sf_dir)).select("frame", "ch", "kz", "ky", "kx", "re", "im")
+    return dft4(packed4(spark, sf_dir)).select("frame", "ch", "kz", "ky", "kx", "re", "im")
 
 
 @query("idft_roundtrip_n4", with_(FIELD4, rest="SELECT frame, ch, z, y, x, q FROM field4"))
 def idft_roundtrip_n4(spark, sf_dir):
-    return idft4(dft4(field4(spark, sf_dir))).select("frame", "ch", "z", "y", "x", "q")
+    back = idft4(transformed(packed4(spark, sf_dir), ["frame", "ch"], ["v"]))
+    at = lambda d: (F.floor(F.col("pos") / d) % 4).cast("int")
+    return back.select("frame", "ch", F.posexplode("v").alias("pos", "q")).select("frame", "ch", at(16).alias("z"), at(4).alias("y"), at(1).alias("x"), "q")
 
 
 @query("energy_parseval", with_(FIELD4, rest="SELECT frame, CAST(sum(CAST(q AS HUGEINT) * q) AS DOUBLE) / 64 / 2 / 1e12 AS e FROM field4 WHERE ch < 3 GROUP BY frame").replace("SELECT frame, CAST(sum", "SELECT frame, CAST(floor(e * 1e9 + 0.5) AS BIGINT) AS e_q FROM (SELECT frame, CAST(sum").replace("GROUP BY frame", "GROUP BY frame)"))
 def energy_parseval(spark, sf_dir):
     """Kinetic energy as the weighted sum over modes; the oracle has it from the points."""
-    m = dft4(field4(spark, sf_dir).where("ch < 3"))
+    m = dft4(packed4(spark, sf_dir).where("ch < 3"))
     e = F.sum(F.col("w") * (_D("re") * _D("re") + _D("im") * _D("im"))).cast("double") / 4096 / 2 / 1e12
     return m.groupBy("frame").agg(q(e, 1e9).alias("e_q"))
 
@@ -84,13 +147,13 @@ def shell_spectrum(modes: DataFrame, n: int = 4) -> DataFrame:
 
 @query("shell_spectrum", _sql(f"SELECT frame, shell, CAST(floor({_E} * 1e9 + 0.5) AS BIGINT) AS e_q FROM mode WHERE ch < 3 AND shell BETWEEN 1 AND 2 GROUP BY ALL"))
 def q_shell_spectrum(spark, sf_dir):
-    return shell_spectrum(dft4(field4(spark, sf_dir).where("ch < 3"))).select("frame", "shell", q("E", 1e9).alias("e_q"))
+    return shell_spectrum(dft4(packed4(spark, sf_dir).where("ch < 3"))).select("frame", "shell", q("E", 1e9).alias("e_q"))
 
 
 @query("dissipation", _sql("SELECT frame, CAST(floor(2 * 0.0022 * CAST(sum(k2 * w * (CAST(re AS HUGEINT) * re + CAST(im AS HUGEINT) * im)) AS DOUBLE) / 4096 / 2 / 1e12 * 1e9 + 0.5) AS BIGINT) AS eps_q FROM mode WHERE ch < 3 GROUP BY frame"))
 def dissipation(spark, sf_dir):
     s = F.sum(F.col("k2") * F.col("w") * (_D("re") * _D("re") + _D("im") * _D("im"))).cast("double")
-    return dft4(field4(spark, sf_dir).where("ch < 3")).groupBy("frame").agg(q(2 * 0.0022 * s / 4096 / 2 / 1e12, 1e9).alias("eps_q"))
+    return dft4(packed4(spark, sf_dir).where("ch < 3")).groupBy("frame").agg(q(2 * 0.0022 * s / 4096 / 2 / 1e12, 1e9).alias("eps_q"))
 
 
 def curl(m: DataFrame) -> DataFrame:
@@ -110,7 +173,7 @@ _CURL = """SELECT frame, kz, ky, kx, -(ky * im_w - kz * im_v) AS re_ox, ky * re_
 
 @query("curl_n4", _sql(_CURL))
 def curl_n4(spark, sf_dir):
-    m = curl(by_channel(dft4(field4(spark, sf_dir)), UVW))
+    m = curl(by_channel(packed4(spark, sf_dir), UVW))
     return m.select("frame", "kz", "ky", "kx", *(f"{p}_o{a}" for a in "xyz" for p in ("re", "im")))
 
 
@@ -121,7 +184,7 @@ def divergence(m: DataFrame) -> DataFrame:
 
 @query("divergence_n4", _sql("SELECT frame, kz, ky, kx, -(kx * im_u + ky * im_v + kz * im_w) AS re_div, kx * re_u + ky * re_v + kz * re_w AS im_div FROM uvw"))
 def divergence_n4(spark, sf_dir):
-    return divergence(by_channel(dft4(field4(spark, sf_dir)), UVW)).select("frame", "kz", "ky", "kx", "re_div", "im_div")
+    return divergence(by_channel(packed4(spark, sf_dir), UVW)).select("frame", "kz", "ky", "kx", "re_div", "im_div")
 
 
 def leray(m: DataFrame) -> DataFrame:
@@ -140,14 +203,14 @@ _DOT = "(kx * {p}_u + ky * {p}_v + kz * {p}_w)"
 
 @query("leray_n4", _sql("SELECT frame, kz, ky, kx, " + ", ".join(f"CAST(floor(({p}_{n} - CASE WHEN k2 > 0 THEN {k} * {_DOT.format(p=p)} / k2::DOUBLE ELSE 0 END) * 10 + 0.5) AS BIGINT) AS {p}_p{n}" for p in ("re", "im") for k, n in (("kx", "u"), ("ky", "v"), ("kz", "w"))) + " FROM uvw"))
 def leray_n4(spark, sf_dir):
-    m = leray(by_channel(dft4(field4(spark, sf_dir)), UVW))
+    m = leray(by_channel(packed4(spark, sf_dir), UVW))
     return m.select("frame", "kz", "ky", "kx", *(q(f"{p}_p{n}", 10).alias(f"{p}_p{n}") for p in ("re", "im") for n in "uvw"))
 
 
 @query("leray_divergence_free", with_(FIELD4, rest="SELECT count(DISTINCT frame) AS frames, 0::BIGINT AS modes_with_divergence FROM field4"))
 def leray_divergence_free(spark, sf_dir):
     """Modes whose divergence survives the projection: none."""
-    m = leray(by_channel(dft4(field4(spark, sf_dir)), UVW))
+    m = leray(by_channel(packed4(spark, sf_dir), UVW))
     d = lambda p: F.abs(F.col("kx") * F.col(f"{p}_pu") + F.col("ky") * F.col(f"{p}_pv") + F.col("kz") * F.col(f"{p}_pw")) > 1e-3
     return m.agg(F.count_distinct("frame").alias("frames"), F.count_if(d("re") | d("im")).alias("modes_with_divergence"))
 
@@ -155,7 +218,7 @@ def leray_divergence_free(spark, sf_dir):
 @query("dealias_n4", _sql("SELECT frame, count(*) AS kept, count(*) FILTER (9 * k2 <= 16) AS kept_spherical, CAST(sum(abs(re)) AS BIGINT) AS re_sum FROM mode WHERE ch = 0 AND 3 * abs(kz) <= 4 AND 3 * abs(ky) <= 4 AND 3 * kx <= 4 GROUP BY frame"))
 def dealias_n4(spark, sf_dir):
     """The two-thirds rule, cubic, and the spherical one within."""
-    m = dft4(field4(spark, sf_dir).where("ch = 0")).where("3 * abs(kz) <= 4 and 3 * abs(ky) <= 4 and 3 * kx <= 4")
+    m = dft4(packed4(spark, sf_dir).where("ch = 0")).where("3 * abs(kz) <= 4 and 3 * abs(ky) <= 4 and 3 * kx <= 4")
     return m.groupBy("frame").agg(F.count("*").alias("kept"), F.count_if(9 * F.col("k2") <= 16).alias("kept_spherical"), F.sum(F.abs("re")).alias("re_sum"))
 
 
@@ -165,7 +228,7 @@ _HEL = """CAST(sum(w * (CAST(re_u AS HUGEINT) * -(ky * im_w - kz * im_v) + CAST(
 
 @query("helicity", _sql(f"SELECT frame, CAST(floor({_HEL} / 4096 / 1e12 * 1e9 + 0.5) AS BIGINT) AS h_q FROM uvw GROUP BY frame"))
 def helicity(spark, sf_dir):
-    m = curl(by_channel(dft4(field4(spark, sf_dir)), UVW))
+    m = curl(by_channel(packed4(spark, sf_dir), UVW))
     terms = sum((_D(f"{p}_{n}") * _D(f"{p}_o{a}") for p in ("re", "im") for n, a in zip("uvw", "xyz", strict=True)), F.lit(0).cast("decimal(19,0)"))
     return m.groupBy("frame").agg(q(F.sum(F.col("w") * terms).cast("double") / 4096 / 1e12, 1e9).alias("h_q"))
 
@@ -173,7 +236,7 @@ def helicity(spark, sf_dir):
 @query("partition_2d3d", _sql(f"SELECT frame, CAST(floor({_E.replace('sum(w', 'sum(w * (kz = 0)::INTEGER')} * 1e9 + 0.5) AS BIGINT) AS e2d_q, CAST(floor({_E} * 1e9 + 0.5) AS BIGINT) AS e_q FROM mode WHERE ch < 3 GROUP BY frame"))
 def partition_2d3d(spark, sf_dir):
     e = F.col("w") * (_D("re") * _D("re") + _D("im") * _D("im"))
-    m = dft4(field4(spark, sf_dir).where("ch < 3"))
+    m = dft4(packed4(spark, sf_dir).where("ch < 3"))
     scaled = lambda c: q(c.cast("double") / 4096 / 2 / 1e12, 1e9)
     return m.groupBy("frame").agg(scaled(F.coalesce(F.sum(F.when(F.col("kz") == 0, e)), F.lit(0))).alias("e2d_q"), scaled(F.sum(e)).alias("e_q"))
 
@@ -190,19 +253,18 @@ def helical(m: DataFrame, sign: int) -> DataFrame:
 @query("helical_sum", _sql("SELECT frame, kz, ky, kx, " + ", ".join(f"CAST(floor(({p}_{n} - {k} * {_DOT.format(p=p)} / k2::DOUBLE) * 10 + 0.5) AS BIGINT) AS {p}_{n}" for p in ("re", "im") for k, n in (("kx", "u"), ("ky", "v"), ("kz", "w"))) + " FROM uvw WHERE k2 > 0"))
 def helical_sum(spark, sf_dir):
     """Both hands together are the solenoidal field."""
-    m = by_channel(dft4(field4(spark, sf_dir)), UVW).where("k2 > 0")
+    m = by_channel(packed4(spark, sf_dir), UVW).where("k2 > 0")
     plus, minus, key = helical(m, 1), helical(m, -1), ["frame", "kz", "ky", "kx"]
     j = plus.join(minus.select(*key, *(F.col(f"{p}_h{n}").alias(f"{p}_g{n}") for p in ("re", "im") for n in "uvw")), key)
     return j.select(*key, *(q(F.col(f"{p}_h{n}") + F.col(f"{p}_g{n}"), 10).alias(f"{p}_{n}") for p in ("re", "im") for n in "uvw"))
 
 
-def products(field: DataFrame) -> DataFrame:
-    """The six products u_i u_j at every point as channels 0..5 (uu, vv, ww, uv, uw, vw), in whole millionths of the field's unit."""
-    v = field.groupBy("frame", "z", "y", "x").pivot("ch", [0, 1, 2]).agg(F.max("q"))
-    pairs = [("0", "0"), ("1", "1"), ("2", "2"), ("0", "1"), ("0", "2"), ("1", "2")]
+def products(wide: DataFrame) -> DataFrame:
+    """The six products u_i u_j at every point as packed columns p0..p5 (uu, vv, ww, uv, uw, vw), in whole millionths of the field's unit, beside u, v and w."""
+    pairs = ["uu", "vv", "ww", "uv", "uw", "vw"]
     # Rounded to the field's unit, so that sums over modes stay exact.
-    value = lambda a, b: F.floor((F.col(a) * F.col(b)).cast("double") / 1e6 + 0.5).cast("long")
-    return v.select("frame", "z", "y", "x", F.inline(F.array(*(F.struct(F.lit(i).alias("ch"), value(a, b).alias("q")) for i, (a, b) in enumerate(pairs)))))
+    value = lambda a, b: F.floor((a * b).cast("double") / 1e6 + 0.5).cast("long")
+    return wide.withColumns({f"p{i}": F.zip_with(a, b, value) for i, (a, b) in enumerate(pairs)})
 
 
 _PROD = """v3 AS (SELECT frame, z, y, x, max(CASE WHEN ch = 0 THEN q END) AS a, max(CASE WHEN ch = 1 THEN q END) AS b, max(CASE WHEN ch = 2 THEN q END) AS c FROM field4 GROUP BY ALL),
@@ -211,11 +273,15 @@ _PMODES = _MODES.split(",\nuvw AS")[0].replace("FROM field4, k4", "FROM prod, k4
 _KK = [("kx", "kx", 1), ("ky", "ky", 1), ("kz", "kz", 1), ("kx", "ky", 2), ("kx", "kz", 2), ("ky", "kz", 2)]
 
 
-def pressure(field: DataFrame) -> DataFrame:
-    """Pressure modes of the Poisson equation, -k_i k_j / k2 of the products' modes; the mean is 0."""
-    p = by_channel(dft4(products(field)), {i: f"p{i}" for i in range(6)})
-    total = lambda c: sum((f * F.col(a) * F.col(b) * F.col(f"{c}_p{i}") for i, (a, b, f) in enumerate(_KK)), F.lit(0))
-    return p.withColumns({f"{c}_p": F.when(F.col("k2") > 0, -total(c) / F.col("k2")).otherwise(F.lit(0.0)) for c in ("re", "im")})
+def _source(c: str) -> Column:
+    """k_i k_j of the products' modes, summed."""
+    return sum((f * F.col(a) * F.col(b) * F.col(f"{c}_p{i}") for i, (a, b, f) in enumerate(_KK)), F.lit(0))
+
+
+def pressure(wide: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Pressure modes re_p, im_p of the Poisson equation for packed u, v, w, -k_i k_j / k2 of the products' modes; the mean is 0. Modes of the columns in `also` stand beside."""
+    p = modes_of(products(wide), [*(f"p{i}" for i in range(6)), *(also or [])])
+    return p.withColumns({f"{c}_p": F.when(F.col("k2") > 0, -_source(c) / F.col("k2")).otherwise(F.lit(0.0)) for c in ("re", "im")})
 
 
 _PSUM = lambda c: " + ".join(f"{f} * {a} * {b} * max(CASE WHEN ch = {i} THEN {c} END)" for i, (a, b, f) in enumerate(_KK))
@@ -224,7 +290,7 @@ _PSUM = lambda c: " + ".join(f"{f} * {a} * {b} * max(CASE WHEN ch = {i} THEN {c}
 @query("pressure_poisson_n4", with_(FIELD4, _PROD, _PMODES, rest=f"""SELECT frame, kz, ky, kx, CAST(floor(CASE WHEN k2 > 0 THEN -({_PSUM('re')}) / k2::DOUBLE ELSE 0 END * 10 + 0.5) AS BIGINT) AS re_q,
   CAST(floor(CASE WHEN k2 > 0 THEN -({_PSUM('im')}) / k2::DOUBLE ELSE 0 END * 10 + 0.5) AS BIGINT) AS im_q FROM pmode GROUP BY frame, kz, ky, kx, k2"""))
 def pressure_poisson_n4(spark, sf_dir):
-    p = pressure(field4(spark, sf_dir).where("ch < 3"))
+    p = pressure(abreast(packed4(spark, sf_dir), UVW))
     return p.select("frame", "kz", "ky", "kx", q("re_p", 10).alias("re_q"), q("im_p", 10).alias("im_q"))
 
 
@@ -233,11 +299,9 @@ def pressure_poisson_n4(spark, sf_dir):
   FROM rhs JOIN (SELECT frame, kz, ky, kx, re, im FROM mode WHERE ch = 3) p USING (frame, kz, ky, kx) WHERE k2 > 0 GROUP BY frame"""))
 def poisson_residual_n4(spark, sf_dir):
     """|laplace p - rhs| / |rhs| of the stored pressure, without the mean."""
-    f = field4(spark, sf_dir)
-    key = ["frame", "kz", "ky", "kx"]
-    want = by_channel(dft4(products(f.where("ch < 3"))), {i: f"p{i}" for i in range(6)})
-    total = lambda c: sum((m * F.col(a) * F.col(b) * F.col(f"{c}_p{i}") for i, (a, b, m) in enumerate(_KK)), F.lit(0)).cast("double")
-    j = want.withColumns({"r": total("re"), "i": total("im")}).join(dft4(f.where("ch = 3")).select(*key, "re", "im"), key).where("k2 > 0")
+    wide = products(abreast(packed4(spark, sf_dir), UVW | {3: "s"}).where("s is not null"))
+    m = modes_of(wide, [*(f"p{i}" for i in range(6)), "s"])
+    j = m.where("k2 > 0").select("frame", "k2", "w", F.col("re_s").alias("re"), F.col("im_s").alias("im"), _source("re").cast("double").alias("r"), _source("im").cast("double").alias("i"))
     sq = lambda x: x * x
     top = F.sum(F.col("w") * (sq(-F.col("k2") * F.col("re") - F.col("r")) + sq(-F.col("k2") * F.col("im") - F.col("i"))))
     return j.groupBy("frame").agg(q(F.sqrt(top) / F.sqrt(F.sum(F.col("w") * (sq(F.col("r")) + sq(F.col("i"))))), 1e5).alias("res_q"))
@@ -255,20 +319,20 @@ _GAUSS = f"exp(-k2 * {(0.25 * 2 * np.pi) * (0.25 * 2 * np.pi) / 24!r}::DOUBLE)"
 @query("gauss_filter_n4", _sql(f"SELECT frame, ch, kz, ky, kx, CAST(floor(re * {_GAUSS} * 10 + 0.5) AS BIGINT) AS re_q, CAST(floor(im * {_GAUSS} * 10 + 0.5) AS BIGINT) AS im_q FROM mode"))
 def gauss_filter_n4(spark, sf_dir):
     g = gauss(F.col("k2"), 0.25)
-    return dft4(field4(spark, sf_dir)).select("frame", "ch", "kz", "ky", "kx", q(F.col("re") * g, 10).alias("re_q"), q(F.col("im") * g, 10).alias("im_q"))
+    return dft4(packed4(spark, sf_dir)).select("frame", "ch", "kz", "ky", "kx", q(F.col("re") * g, 10).alias("re_q"), q(F.col("im") * g, 10).alias("im_q"))
 
 
 @query("strain_n4", _sql("SELECT frame, kz, ky, kx, -kx * im_u AS re_s11, kx * re_u AS im_s11, -(ky * im_u + kx * im_v) / 2.0::DOUBLE AS re_s12, (ky * re_u + kx * re_v) / 2.0::DOUBLE AS im_s12 FROM uvw"))
 def strain_n4(spark, sf_dir):
     c = F.col
-    m = by_channel(dft4(field4(spark, sf_dir)), UVW)
+    m = by_channel(packed4(spark, sf_dir), UVW)
     return m.select("frame", "kz", "ky", "kx", (-c("kx") * c("im_u")).alias("re_s11"), (c("kx") * c("re_u")).alias("im_s11"), (-(c("ky") * c("im_u") + c("kx") * c("im_v")) / 2.0).alias("re_s12"), ((c("ky") * c("re_u") + c("kx") * c("re_v")) / 2.0).alias("im_s12"))
 
 
 @query("downsample_n4", _sql("SELECT frame, ch, kz, ky, kx, CAST(floor(re / 8.0::DOUBLE + 0.5) AS BIGINT) AS re_q FROM mode WHERE kz IN (0, 1) AND ky IN (0, 1) AND kx <= 1"))
 def downsample_n4(spark, sf_dir):
     """Spectral truncation to half the resolution."""
-    return dft4(field4(spark, sf_dir)).where("kz in (0, 1) and ky in (0, 1) and kx <= 1").select("frame", "ch", "kz", "ky", "kx", q(F.col("re") / 8.0, 1).alias("re_q"))
+    return dft4(packed4(spark, sf_dir)).where("kz in (0, 1) and ky in (0, 1) and kx <= 1").select("frame", "ch", "kz", "ky", "kx", q(F.col("re") / 8.0, 1).alias("re_q"))
 
 
 @query("slice_midplane", with_(FIELD4, rest="SELECT frame, y, x, q FROM field4 WHERE ch = 0 AND z = 2"))
@@ -288,7 +352,7 @@ def velocity_magnitude(spark, sf_dir):
 @query("coriolis_n4", _sql("SELECT frame, kz, ky, kx, CAST(-2 * 2.5 * re_v AS BIGINT) AS re_cx, CAST(2 * 2.5 * re_u AS BIGINT) AS re_cy FROM uvw"))
 def coriolis_n4(spark, sf_dir):
     """2 Omega x u about the z axis, with Omega 2.5."""
-    m = by_channel(dft4(field4(spark, sf_dir)), UVW)
+    m = by_channel(packed4(spark, sf_dir), UVW)
     return m.select("frame", "kz", "ky", "kx", (-5 * F.col("re_v")).alias("re_cx"), (5 * F.col("re_u")).alias("re_cy"))
 
 

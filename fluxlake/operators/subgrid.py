@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import FIELD4, field4, with_
+from ..fixtures import FIELD4, with_
 from ..model import q
 from ..registry import query
 from .dynamics import Box
-from .spectral import _KK, _MODES, _PMODES, _PROD, UVW, by_channel, curl, dft4, pressure
+from .spectral import _KK, _MODES, _PMODES, _PROD, UVW, abreast, curl, packed4, pressure
 
 #: Components of a symmetric tensor in order, and how often each counts in a full contraction.
 PAIRS = ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))
@@ -278,9 +278,8 @@ _KEY = ["frame", "kz", "ky", "kx"]
 @query("pressure_rotating_n4", with_(FIELD4, *_EXT, rest=f"""SELECT frame, kz, ky, kx, CAST(floor((re_p - {2 * _OMEGA} * -(kx * im_v - ky * im_u) / u.k2::DOUBLE) * 10 + 0.5) AS BIGINT) AS re_q,
   CAST(floor((im_p - {2 * _OMEGA} * (kx * re_v - ky * re_u) / u.k2::DOUBLE) * 10 + 0.5) AS BIGINT) AS im_q FROM pp JOIN uvw u USING (frame, kz, ky, kx)"""))
 def pressure_rotating_n4(spark, sf_dir):
-    f = field4(spark, sf_dir).where("ch < 3")
-    o = curl(by_channel(dft4(f), UVW)).select(*_KEY, "re_oz", "im_oz")
-    d = rotating_pressure(pressure(f).where("k2 > 0").join(o, _KEY), _OMEGA)
+    p = pressure(abreast(packed4(spark, sf_dir).where("ch < 3"), UVW), ["u", "v", "w"])
+    d = rotating_pressure(curl(p).where("k2 > 0"), _OMEGA)
     return d.select(*_KEY, q("re_p", 10).alias("re_q"), q("im_p", 10).alias("im_q"))
 
 
@@ -288,7 +287,6 @@ def pressure_rotating_n4(spark, sf_dir):
   CAST(floor((im_p - kz * re / b.k2::DOUBLE) * 10 + 0.5) AS BIGINT) AS im_q FROM pp JOIN (SELECT * FROM mode WHERE ch = 3) b USING (frame, kz, ky, kx)"""))
 def pressure_buoyant_n4(spark, sf_dir):
     """The fourth channel as buoyancy."""
-    f = field4(spark, sf_dir)
-    b = dft4(f.where("ch = 3")).select(*_KEY, F.col("re").alias("re_b"), F.col("im").alias("im_b"))
-    d = buoyant_pressure(pressure(f.where("ch < 3")).where("k2 > 0").join(b, _KEY), F.col("re_b"), F.col("im_b"))
+    p = pressure(abreast(packed4(spark, sf_dir), UVW | {3: "b"}).where("b is not null"), ["b"])
+    d = buoyant_pressure(p.where("k2 > 0"), F.col("re_b"), F.col("im_b"))
     return d.select(*_KEY, q("re_p", 10).alias("re_q"), q("im_p", 10).alias("im_q"))

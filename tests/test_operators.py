@@ -175,3 +175,16 @@ def test_the_magnitude_of_a_frame_that_lacks_a_component_is_unknown(spark, sf_di
 def test_a_true_frame_that_lacks_planes_starts_no_sample(spark, sf_dir, tmp_path):
     """Frame 1, the truth of the first frame of a sample, has no w."""
     as_its_sql(spark, "constraint_chain_n4", "embeddings", tmp_path, f"SELECT * FROM '{sf_dir}/embeddings.parquet' WHERE vec_id <> 6")
+
+
+@pytest.mark.parametrize("name", ["dft_n4", "idft_roundtrip_n4", "pressure_poisson_n4", "poisson_residual_n4", "pressure_buoyant_n4", "pressure_rotating_n4", "m_frmse_bands", "curl_n4"])
+def test_transforms_of_frames_that_lack_channels(spark, sf_dir, tmp_path, name):
+    """Frame 0 lacks w, frame 1 has its fourth channel only, frame 2 lacks that."""
+    as_its_sql(spark, name, "embeddings", tmp_path, f"SELECT * FROM '{sf_dir}/embeddings.parquet' WHERE vec_id NOT IN (2, 4, 5, 6, 11)")
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("dft_n4", 0), ("idft_roundtrip_n4", 0), ("curl_n4", 1), ("pressure_poisson_n4", 1), ("pressure_buoyant_n4", 1), ("pressure_rotating_n4", 1)])
+def test_modes_are_made_without_a_shuffle(spark, sf_dir, name, shuffles):
+    """Packed fields meet by frame at most once; points and modes never travel one by one."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == shuffles and "Join" not in plan
