@@ -188,3 +188,9 @@ def test_modes_are_made_without_a_shuffle(spark, sf_dir, name, shuffles):
     """Packed fields meet by frame at most once; points and modes never travel one by one."""
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == shuffles and "Join" not in plan
+
+
+def test_a_sketch_is_kept_for_each_flag_and_not_for_each_part(spark, sf_dir):
+    plan = registry.queries()["gen_approx_distinct"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
+    assert sketches and not any("l_partkey" in line.split("functions=")[0] for line in sketches)
