@@ -134,3 +134,18 @@ def test_without_a_halo_the_seams_show(spark):
     assert (~np.isclose(got, want)).sum() == 6**3 - 8  # all points but the middles of the tiles
     with pytest.raises(ValueError, match="halo"):
         tiled(spark, x, 2, 3, T.BOX)
+
+
+def test_stencils_share_their_tiles_and_keep_nulls(spark, sf_dir):
+    from fluxlake import registry
+
+    x = np.random.default_rng(5).normal(size=(4, 4, 4))
+    rows = [("a", 1, 0, 0, z, [None if (z, i) == (1, 5) else float(u) for i, u in enumerate(v.ravel())]) for z, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "case string, seed int, ord int, ch int, z int, values array<double>")
+    got = {(r["z"], r["y"], r["x"]): r for r in T.stencils(df, 4, 2, 1, {"laplace": T.LAPLACE, "box": T.BOX}).collect()}
+    near = {p for p in got if all((a - b + 5) % 4 < 3 for a, b in zip(p, (1, 1, 1), strict=True))}
+    assert len(got) == 64 and {p for p in got if got[p]["box"] is None} == near
+    assert all(got[p]["box"] == pytest.approx(whole(x, T.BOX)[p]) for p in set(got) - near)
+    assert sum(r["laplace"] is None for r in got.values()) == 7
+    plan = registry.queries()["tile_stencil_n4"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 2
