@@ -42,6 +42,12 @@ def _numbers(column: pa.Array, *shape: int) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).reshape(-1, *shape)
 
 
+def _small(batches: Iterator[pa.RecordBatch], numbers: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that rows of so many numbers, and what is worked out from them, stay small in memory."""
+    rows = max(1, 2**17 // numbers)
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 def _lists(x: np.ndarray) -> pa.ListArray:
     """A column of lists from the rows of a matrix."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
@@ -62,14 +68,14 @@ def forward(planes: DataFrame, n: int, channels: list[int]) -> DataFrame:
     h = n // 2 + 1
 
     def over_yx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, n * n):
             t = twiddles(n, False, -1) @ (_numbers(b.column(3), n, n) @ twiddles(n, True, -1).T)
             again = lambda c: pa.array(np.repeat(c.to_numpy(), n))  # noqa: B023, E731
             t = t.reshape(-1, h)
             yield pa.RecordBatch.from_arrays([again(b.column(0)), again(b.column(1)), again(b.column(2)), pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)), _lists(t.real.copy()), _lists(t.imag.copy())], names=["frame", "ch", "z", "ky", "re", "im"])
 
     def over_z(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, len(channels) * n * h):
             x = _numbers(b.column(2), len(channels), n, h) + 1j * _numbers(b.column(3), len(channels), n, h)
             t = (twiddles(n, False, -1) @ x).reshape(b.num_rows, len(channels), n * h)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _nested(t.real.copy()), _nested(t.imag.copy())], names=["frame", "ky", "re", "im"])
@@ -86,7 +92,7 @@ def inverse(modes: DataFrame, n: int, channels: int) -> DataFrame:
     weight = np.array([1.0 if k in (0, n / 2) else 2.0 for k in range(h)])
 
     def over_z(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, channels * n * h):
             x = _numbers(b.column(2), channels, n, h) + 1j * _numbers(b.column(3), channels, n, h)
             t = (twiddles(n, False, 1) @ x).reshape(-1, h)
             each = lambda c: pa.array(np.repeat(c.to_numpy(), channels * n))  # noqa: B023, E731
@@ -94,7 +100,7 @@ def inverse(modes: DataFrame, n: int, channels: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([each(b.column(0)), ch, z, each(b.column(1)), _lists(t.real.copy()), _lists(t.imag.copy())], names=["frame", "ch", "z", "ky", "re", "im"])
 
     def over_yx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, channels * n * h):
             x = _numbers(b.column(2), channels, n, h) + 1j * _numbers(b.column(3), channels, n, h)
             t = ((twiddles(n, False, 1) @ x) * weight) @ twiddles(n, True, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _nested((t.real / n**3).reshape(b.num_rows, channels, n * n))], names=["frame", "z", "values"])

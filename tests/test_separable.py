@@ -109,3 +109,13 @@ def test_edges(spark):
         S.downsample(p, 4, [0], 4)
     with pytest.raises(ValueError, match="even"):
         S.downsample(p, 4, [0], 3)
+
+
+def test_large_batches_are_worked_in_small_parts():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["frame"])
+    parts = list(S._small([b, b.slice(0, 0)], 12 * 40))
+    assert max(p.num_rows for p in parts) * 12 * 40 <= 2**17
+    assert [v for p in parts for v in p.column(0).to_pylist()] == list(range(10_000))
+    assert [p.num_rows for p in S._small([b.slice(0, 2)], 2**20)] == [1, 1]
