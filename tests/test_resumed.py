@@ -74,6 +74,23 @@ def test_late_rows_take_their_place_and_a_restart_changes_nothing(spark, tmp_pat
     assert alarms(spark, out) == want
 
 
+def test_a_state_serves_a_block_of_runs(spark, tmp_path):
+    rows = [(i, t, u * 3 - 70, v) for i, t, u, v in made(900, 75)]
+    rows = [(i, t - dt.timedelta(minutes=30 * i) + dt.timedelta(hours=i // 75), u, v) for i, t, u, v in rows]
+    want = plain(rows)
+    assert len({r[0] for r in want}) > 30
+    path, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    sizes = []
+    with R.keyed_state(spark):
+        for part in (rows[:450], rows[450:], None):
+            close(spark, path, rows) if part is None else deliver(spark, path, part)
+            s = stream(spark, path).writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(R.batch_sink(out)).start()
+            s.awaitTermination()
+            sizes += [p["stateOperators"][0]["numRowsTotal"] for p in s.recentProgress if p["stateOperators"]]
+    assert alarms(spark, out) == want
+    assert 0 < max(sizes) <= 4 * len({u // 64 for _, _, u, _ in rows})  # not one for each row or run
+
+
 def test_a_run_killed_between_batches_gives_the_rows_of_an_unbroken_one(spark, tmp_path):
     rows = made(120)
     path, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
@@ -131,3 +148,16 @@ def test_fingerprints_tell_changed_sources(spark, tmp_path):
     second.unlink()
     assert {r["what"] for r in R.changed(before, R.fingerprints(spark, str(path))).collect()} == {"changed", "gone"}
     assert R.fingerprints(spark, str(path)).where(F.length("md5") != 32).count() == 0
+
+
+def test_a_delivery_has_as_many_files_as_its_input(spark, tmp_path):
+    spark.createDataFrame(made(160), SCHEMA).repartition(3).write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/events.parquet")
+    path = f"{tmp_path}/arrivals"
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        seen = [spark.read.parquet(path).inputFiles() for _ in R._deliveries(spark, str(tmp_path), path, False)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(seen) == 4 and len(seen[-1]) > 4
+    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == list(range(160))
