@@ -37,12 +37,16 @@ LENGTH = 2048
 SEPARATOR = 0
 #: Ways to try: the share of a sequence from which a length is large, and the number of groups of large lengths.
 TRIES = ((1 / 2, 24), (1 / 3, 160), (1 / 6, 64))
-#: Runs of text whose ids a worker remembers before it starts anew.
+#: Runs and pieces whose ids a worker remembers in one table; a full one is kept once more for what is still in use.
 REMEMBERED = 150_000
 _RANK = 1 << 44
 #: The printable stand-ins of bytes in byte-level vocabularies: bytes that are printable in Latin-1 stand for themselves, the rest in order from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+_BYTES = [chr(b) for b in range(256)]
+for _i, _b in enumerate(b for b in range(256) if b not in _OWN):
+    _BYTES[_b] = chr(256 + _i)
+#: Marks that often end a run; neither letters nor digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The tokenizer's own pattern, on lower-case text.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
@@ -229,10 +233,14 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # that is, as text
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if added else []
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
         self.end = SEPARATOR.to_bytes(4, "little")
         self.bpe = self.model.model
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.model.get_vocab().values()) + 1)]
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if not any(a in text for a in self.added):
@@ -245,17 +253,29 @@ class Tokens:
 
     def piece(self, p: str) -> bytes:
         """Ids of one match of the pattern, by the library's merges alone."""
-        found = self.pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in self.bpe.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
+        found = self.older.get(p)
+        if not found:
+            packed = self.packed
+            found = b"".join([packed[t.id] for t in self.bpe.tokenize(p if p.isascii() else "".join([_BYTES[b] for b in p.encode()]))])
+        self.known[p] = found
         return found
 
     def learn(self, run: str) -> bytes:
-        """Runs of Latin letters, digits and printable marks recur in few pieces, in which case and neighbours do not matter. Others go through the whole tokenizer."""
-        if run.isprintable() and (run.isascii() or max(run) < "\u0250"):
-            low = run.lower()
-            get, piece = self.pieces.get, self.piece
-            found = get(low) or piece(low) if low.isalpha() else b"".join([get(p) or piece(p) for p in _PIECES(low)])
-        else:
-            found = self.ids(run)
+        """Runs of Latin letters, digits and printable marks recur in few pieces, in which case and neighbours do not matter; a piece has the ids of a run of itself alone. Others go through the whole tokenizer."""
+        found = self.older.get(run)
+        if not found:
+            if run.isprintable() and (run.isascii() or max(run) < "\u0250"):
+                low = run.lower()
+                get, piece = self.known.get, self.piece
+                if low.isalpha():
+                    found = get(low) or piece(low)
+                elif (word := low.rstrip(_MARKS)).isalpha():  # two pieces: letters, then marks
+                    end = low[len(word) :]
+                    found = (get(word) or piece(word)) + (get(end) or piece(end))
+                else:
+                    found = b"".join([get(p) or piece(p) for p in _PIECES(low)])
+            else:
+                found = self.ids(run)
         self.known[run] = found
         return found
 
@@ -263,14 +283,15 @@ class Tokens:
         """Ids of each text and the separator, little-endian, 4 bytes each."""
         out = []
         for at in range(0, len(texts), 500):
-            for table in (self.known, self.pieces):
-                if len(table) > REMEMBERED:
-                    table.clear()
-            # Python takes these control characters for white space, the tokenizer does not.
-            part = [None if t and (any(a in t for a in self.added) or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) else (t or "").split() for t in texts[at : at + 500]]
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
             get, learn = self.known.get, self.learn
-            for p, t in zip(part, texts[at : at + 500], strict=True):
-                out.append((self.ids(t) if p is None else b"".join([get(r) or learn(r) for r in p])) + self.end)
+            for t in texts[at : at + 500]:
+                # Python takes these control characters for white space, the tokenizer does not.
+                if t and (any(a in t for a in self.added) or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t):
+                    out.append(self.ids(t) + self.end)
+                else:
+                    out.append(b"".join([get(r) or learn(r) for r in (t or "").split()]) + self.end)
         return out
 
 
@@ -288,8 +309,7 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
         part = TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         full = 0
-        t.known.clear()  # of another task
-        t.pieces.clear()
+        t.forget()  # of another task
         for batch in batches:
             for b in slices(batch, 1):
                 packed = t.encode(b.column(1).to_pylist())
@@ -304,8 +324,7 @@ def tokenise(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool =
                     crcs.append([zlib.crc32(p[i : i + 4 * length]) for i in range(0, len(p), 4 * length)])
                 columns = [pa.array([part] * len(n), pa.int32()), b.column(0), pa.array(n), pa.array(tails, pa.int32()), pa.array(tail_ranks), pa.array(fulls), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * with_ids, schema=schema)
-        t.known.clear()
-        t.pieces.clear()
+        t.forget()
 
     kinds = "part int, doc_id long, n long, tail int, tail_rank long, full_rank long, crcs array<long>" + ", ids binary" * with_ids
     return mapped(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, kinds)

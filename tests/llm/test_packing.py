@@ -79,3 +79,31 @@ def test_added_tokens_are_ids_in_the_query(spark, tmp_path):
     want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, K.SEPARATOR], "<u4").tobytes() for i, x in enumerate(texts)}
     got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in K.op7_packing(spark, str(tmp_path)).collect()}
     assert got == {i: (len(v) // 4, zlib.crc32(v)) for i, v in want.items()}
+
+
+def test_full_tables_keep_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(K, "REMEMBERED", 600)
+    t, asked = K.Tokens(PATH), []
+
+    class Counted:
+        def tokenize(self, p, bpe=t.bpe):
+            asked.append(p)
+            return bpe.tokenize(p)
+
+    t.bpe = Counted()
+    letters = "abcdefghij"
+    new = ["".join(letters[int(d)] for d in str(i)) for i in range(4000)]
+    texts = [f"Common, common {w}x{w}." for w in new]
+    library = Tokenizer.from_file(PATH)
+    want = [np.array([*library.encode(x, add_special_tokens=False).ids, K.SEPARATOR], "<u4").tobytes() for x in texts]
+    assert t.encode(texts) == want
+    assert asked.count("common") == 1 and len(t.known) + len(t.older) < 6000
+
+
+def test_ends_of_runs_are_pieces_of_their_own():
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    texts = ["don't's 's' '' a'' I'LL we'Ve. 'T", "ÀÉ..ß!! İx. ſs ª.º é1é. x1.", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ a!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "a_b __ \u00ad a\u00ad. ʰ. ’s it’s ..1"]
+    t = K.Tokens(PATH)
+    for _ in range(2):  # learned and remembered
+        assert t.encode(texts) == [np.array([*library.encode(x, add_special_tokens=False).ids, K.SEPARATOR], "<u4").tobytes() for x in texts]
