@@ -194,3 +194,24 @@ def test_a_sketch_is_kept_for_each_flag_and_not_for_each_part(spark, sf_dir):
     plan = registry.queries()["gen_approx_distinct"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line]
     assert sketches and not any("l_partkey" in line.split("functions=")[0] for line in sketches)
+
+
+def as_its_sql_row_by_row(spark, name, table, path, files):
+    """Runs a query on a table of files made by SQL, and its oracle in one thread, which takes the rows in their order."""
+    con = duckdb.connect(config={"threads": 1})
+    (path / f"{table}.parquet").mkdir()
+    for i, rows in enumerate(files):
+        con.sql(f"COPY ({rows}) TO '{path}/{table}.parquet/part-{i}.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    got, want = registry.queries()[name](spark, str(path)).toArrow(), con.sql(registry.oracle_sql()[name]).to_arrow_table()
+    assert rows_of(got, want.column_names) == rows_of(want, want.column_names)
+    return got.to_pylist()
+
+
+def test_a_mean_loss_on_the_edge_is_taken_in_the_order_of_the_table(spark, tmp_path):
+    """Both suppliers' means are 917187.5 millionths exactly, but row by row the first falls short of it; from the sums of the two files neither does."""
+    sizes = [2, 42, 35, 1, 25, 44, 14, 28, 47, 2, 34, 15, 49, 29, 32, 36]
+    rows = [(1, s) for s in sizes] + [(2, s) for s in reversed(sizes)] + [("NULL", 30), ("NULL", 31), (3, "NULL"), (4, "NULL"), (4, 7)]
+    files = ["SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {s}::DOUBLE)" for k, s in part) + ") AS t(l_suppkey, l_quantity)" for part in (rows[:8] + rows[16:24] + rows[32:33], rows[8:16] + rows[24:32] + rows[33:])]
+    got = {r["l_suppkey"]: r["loss_q"] for r in as_its_sql_row_by_row(spark, "loss_smooth_l1", "lineitem", tmp_path, files)}
+    assert got == {1: 917187, 2: 917188, None: 152500, 3: None, 4: 1300000}
