@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .model import q
+from .model import place, q
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,15 @@ def spectrum(spark, sf_dir) -> DataFrame:
     return e.groupBy((F.col("user_id") % 10).alias("seed"), k).agg(F.sum(q("value", 100)).alias("c")).select("seed", "k", (F.col("c") / (F.col("k") * F.col("k"))).alias("E"))
 
 
+def spectrum_met(spark, sf_dir) -> DataFrame:
+    """Energy spectra by seed, each mode with the place at which the table first has it."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select((F.col("user_id") % 10).alias("seed"), (1 + F.col("event_id") % 32).alias("k"), q("value", 100).alias("c"), *place())
+    met = rows.groupBy("seed", "k", "file").agg(F.sum("c").alias("c"), F.min("row").alias("row"))  # by file, so that the least of a plain number is kept
+    modes = met.groupBy("seed", "k").agg(F.sum("c").alias("c"), F.min(F.struct("file", "row")).alias("met"))
+    return modes.select("seed", "k", (F.col("c") / (F.col("k") * F.col("k"))).alias("E"), "met")
+
+
 SPECTRUM = """spectrum AS (SELECT seed, k, CAST(c AS DOUBLE) / (k * k) AS E FROM (SELECT user_id % 10 AS seed, 1 + event_id % 32 AS k, sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS c
   FROM events GROUP BY ALL))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import SPECTRUM, spectrum, with_
+from ..fixtures import SPECTRUM, spectrum, spectrum_met, with_
 from ..model import q
 from ..registry import query
 
@@ -102,10 +102,24 @@ def spec_compensated(spark, sf_dir):
     return d.groupBy("seed").agg(q(F.max("c"), 100).alias("plateau_q"), F.max_by("k", "c").alias("k_at"))
 
 
+def running(xs: Column) -> Column:
+    """Count, total, mean and sum of squared deviations of the numbers of an array, taken one by one."""
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), (s["total"] + x).alias("total"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
+
+    return F.aggregate(xs, F.struct(*(F.lit(0.0).alias(c) for c in ("n", "total", "mean", "m2"))), step)
+
+
 @query("spec_mean_std", with_(SPECTRUM, rest="SELECT k, CAST(floor(avg(E) * 1000 + 0.5) AS BIGINT) AS mean_q, CAST(floor(stddev_samp(E) * 1000 + 0.5) AS BIGINT) AS std_q FROM spectrum GROUP BY k"))
 def spec_mean_std(spark, sf_dir):
-    """Mean spectrum and its field-to-field spread (sample deviation)."""
-    return spectrum(spark, sf_dir).groupBy("k").agg(q(F.avg("E"), 1000).alias("mean_q"), q(F.stddev_samp("E"), 1000).alias("std_q"))
+    """Mean spectrum and its field-to-field spread (sample deviation), of fields in the order in which the table first has them: sums of doubles depend on it."""
+    fields = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("met", "E"))), lambda f: f["E"]), lambda e: e.isNotNull())  # one a seed
+    d = spectrum_met(spark, sf_dir).groupBy("k").agg(running(fields).alias("r"))
+    n = F.col("r.n")
+    return d.select("k", q(F.when(n > 0, F.col("r.total") / n), 1000).alias("mean_q"), q(F.when(n > 1, F.sqrt(F.col("r.m2") / (n - 1))), 1000).alias("std_q"))
 
 
 @query("spec_kolmogorov_units", with_(SPECTRUM, rest="SELECT seed, k, CAST(floor(k * 0.04 * 1e6 + 0.5) AS BIGINT) AS k_eta_q, CAST(floor(E / pow(0.1 * pow(0.05, 5), 0.25) + 0.5) AS BIGINT) AS e_q FROM spectrum"))

@@ -215,3 +215,15 @@ def test_a_mean_loss_on_the_edge_is_taken_in_the_order_of_the_table(spark, tmp_p
     files = ["SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {s}::DOUBLE)" for k, s in part) + ") AS t(l_suppkey, l_quantity)" for part in (rows[:8] + rows[16:24] + rows[32:33], rows[8:16] + rows[24:32] + rows[33:])]
     got = {r["l_suppkey"]: r["loss_q"] for r in as_its_sql_row_by_row(spark, "loss_smooth_l1", "lineitem", tmp_path, files)}
     assert got == {1: 917187, 2: 917188, None: 152500, 3: None, 4: 1300000}
+
+
+@pytest.mark.parametrize(("order", "want"), [(1, 77699), (-1, 77700)])
+def test_a_mean_spectrum_on_the_edge_is_taken_in_the_order_of_the_seeds(spark, tmp_path, order, want):
+    """The mean at k = 20 is 77699.5 thousandths exactly, but seed by seed, as the table first has them, one order falls short of it and the other does not."""
+    cents = [49690, 4329, 19901, 54807, 212, 45523, 51053, 28366, 38150, 18767]
+    seeds = list(range(10))[::order]
+    rows = [(19 + 32 * i, s, (cents[s] - 1) / 100) for i, s in enumerate(seeds)]
+    last = [(19 + 32 * (10 + i), s, 0.01) for i, s in enumerate(reversed(seeds))] + [(20, 3, 1.5), (21, 3, "NULL"), (21, 4, 2), (21, 5, "NULL"), (22, 6, "NULL")]
+    files = ["SELECT * FROM (VALUES " + ", ".join(f"({e}::BIGINT, {u}::BIGINT, {v}::DOUBLE)" for e, u, v in part) + ") AS t(event_id, user_id, value)" for part in (rows[:5], rows[5:] + last)]
+    got = {r["k"]: (r["mean_q"], r["std_q"]) for r in as_its_sql_row_by_row(spark, "spec_mean_std", "events", tmp_path, files)}
+    assert got[20][0] == want and got[21][1] is None and got[22][1] is None and got[23] == (None, None)
