@@ -1,7 +1,11 @@
+import os
 import random
+import sys
 
 import pytest
 
+sys.path.append(os.path.dirname(os.path.abspath(__file__)))  # one test uses the brute force of another
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
